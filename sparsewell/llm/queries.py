@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op5_quality_rules": "quality",
     "op8_mixing": "mixing",
+    "op10_license_scan": "licenses",
 }
 
 
