@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_warc": "warc",
+    "op3_token_file": "tokenfile",
     "op5_quality_rules": "quality",
     "op8_mixing": "mixing",
     "op10_license_scan": "licenses",
