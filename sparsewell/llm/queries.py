@@ -8,6 +8,7 @@ _MODULES = {
     "op1_warc": "warc",
     "op3_token_file": "tokenfile",
     "op5_quality_rules": "quality",
+    "op6_decontamination": "decontam",
     "op7_token_counts": "tokencount",
     "op8_mixing": "mixing",
     "op10_license_scan": "licenses",
