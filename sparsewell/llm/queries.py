@@ -11,6 +11,7 @@ _MODULES = {
     "op6_decontamination": "decontam",
     "op7_token_counts": "tokencount",
     "op8_mixing": "mixing",
+    "op9_language_id": "langid",
     "op10_license_scan": "licenses",
 }
 
