@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op1_warc": "warc",
+    "op2_line_dedup": "linededup",
     "op3_token_file": "tokenfile",
     "op5_quality_rules": "quality",
     "op6_decontamination": "decontam",
