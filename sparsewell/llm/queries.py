@@ -8,6 +8,7 @@ _MODULES = {
     "op1_warc": "warc",
     "op2_line_dedup": "linededup",
     "op3_token_file": "tokenfile",
+    "op4_ngram_jaccard": "ngramjoin",
     "op5_quality_rules": "quality",
     "op6_decontamination": "decontam",
     "op7_token_counts": "tokencount",
