@@ -30,9 +30,11 @@ from .store import saved
 from .wordhash import ALPHANUMERIC, Words, pieces, text_bytes
 
 WINDOW, SLOP = 13, 8
+#: Bytes of document text in a shard.
+SHARD_BYTES = 4 << 20
 #: Bytes of benchmark text in a block, and terms of the whole benchmark sent to all tasks.
 BLOCK_BYTES, MAX_TERMS = 4 << 20, 4 << 20
-INDEX = "shard string, docs binary, nulls binary, bounds binary, terms binary, counts binary, places binary"
+INDEX = "shard string, docs binary, keys binary, nulls binary, bounds binary, terms binary, counts binary, places binary"
 
 
 def _bytes(x: np.ndarray, kind: str) -> bytes:
@@ -47,7 +49,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
     def rows(batches):
         wanted = shared.value
         for batch in batches:
-            for part, data, at in pieces(batch):
+            for part, data, at in pieces(batch, limit=SHARD_BYTES):
                 words = Words(data, at, ALPHANUMERIC)
                 if wanted is None:
                     place = np.arange(len(words.hash))
@@ -62,16 +64,16 @@ def build_index(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
                 step = np.diff(place[order], prepend=0)
                 doc_id = part.column("doc_id").cast(pa.int64())
                 null = doc_id.is_null().to_numpy(zero_copy_only=False)
-                row = [uuid.uuid4().hex, _bytes(doc_id.fill_null(0).to_numpy(), "<i8"), _bytes(null, "u1"), _bytes(words.bounds, "<i8"), _bytes(found, "<u8"), _bytes(count, "<i4"), zstandard.ZstdCompressor(level=1).compress(_bytes(step, "<i4").ljust(1, b"\0"))]
+                row = [uuid.uuid4().hex, _bytes(doc_id.fill_null(0).to_numpy(), "<i8"), _bytes(part.column("key").to_numpy(), "<i8"), _bytes(null, "u1"), _bytes(words.bounds, "<i8"), _bytes(found, "<u8"), _bytes(count, "<i4"), zstandard.ZstdCompressor(level=1).compress(_bytes(step, "<i4").ljust(1, b"\0"))]
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.string() if k == 0 else pa.binary()) for k, x in enumerate(row)], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    return saved(docs.select("doc_id", "text").mapInArrow(rows, INDEX), "positional-index")
+    return saved(docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(rows, INDEX), "positional-index")
 
 
 class Shard:
     def __init__(self, row: dict):
         self.shard = row["shard"]
-        self.docs = np.frombuffer(row["docs"], "<i8")
+        self.docs, self.keys = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["keys"], "<i8")
         self.null = np.frombuffer(row["nulls"], np.uint8).astype(bool)
         self.bounds = np.frombuffer(row["bounds"], "<i8")
         self.terms, self.counts = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["counts"], "<i4").astype(np.int64)
@@ -150,7 +152,7 @@ class Block:
         return [hit[a:b] - lo for a, b, lo in zip(cuts[:-1], cuts[1:], s.bounds[:-1], strict=True)], exact, near
 
 
-FOUND = "shard string, place int, doc_id long, n_words long, hits array<int>, items array<string>, near array<string>"
+FOUND = "shard string, place int, doc_id long, key long, n_words long, hits array<int>, items array<string>, near array<string>"
 
 
 def search(index: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -165,7 +167,7 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], window: int =
                 hits, exact, near = block.search(s, slop)
                 names = lambda found: [sorted({block.ids[k] for k in one}) for one in found]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s.shard] * len(s.docs)), pa.array(np.arange(len(s.docs)), pa.int32()), pa.array(s.docs.astype(np.int64), mask=s.null), pa.array(np.diff(s.bounds).astype(np.int64)), pa.array(hits, pa.list_(pa.int32())), pa.array(names(exact), pa.list_(pa.string())), pa.array(names(near), pa.list_(pa.string()))],
+                    [pa.array([s.shard] * len(s.docs)), pa.array(np.arange(len(s.docs)), pa.int32()), pa.array(s.docs.astype(np.int64), mask=s.null), pa.array(s.keys.astype(np.int64)), pa.array(np.diff(s.bounds).astype(np.int64)), pa.array(hits, pa.list_(pa.int32())), pa.array(names(exact), pa.list_(pa.string())), pa.array(names(near), pa.list_(pa.string()))],
                     names=[x.split()[0] for x in FOUND.split(", ")],
                 )
 
@@ -173,7 +175,8 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], window: int =
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """doc_id, n_words, hits (places of hit words), items (exact), near (proximity)."""
+    """doc_id, key (hash of the text), n_words, hits (places of hit words), items (exact),
+    near (proximity)."""
     own = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("id"), "text")
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // BLOCK_BYTES))
@@ -193,23 +196,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     for one in found[1:]:
         every = every.unionByName(one)
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return every.groupBy("shard", "place", "doc_id", "n_words").agg(merged("hits"), merged("items"), merged("near")).drop("shard", "place")
+    return every.groupBy("shard", "place", "doc_id", "key", "n_words").agg(merged("hits"), merged("items"), merged("near")).drop("shard", "place")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
+    """doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
     m = matches(docs, benchmark).withColumn("n_hit", F.size("hits").cast("long"))
     return m.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        "doc_id", "key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         F.size("near").cast("long").alias("n_near"),
     )
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, all columns."""
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    return own.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_anti").select(*docs.columns)
+
+
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, items).drop("n_near")
+    return contamination(docs, items).drop("key", "n_near")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

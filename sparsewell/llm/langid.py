@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ SWITCH, MARGIN = 12.0, 30.0
 #: Share of a language's words from which a script is one of its own.
 SCRIPT_SHARE = 0.01
 SMOOTH = 0.5
+#: A document of a lower score has no language that can be relied on.
+MIN_SCORE = 0.3
 PREDICTED = "doc_id long, lang_pred string, score double, spans array<struct<first_word:int,last_word:int,lang:string>>"
 
 # First bytes of UTF-8 letters by script.
@@ -267,6 +270,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, PREDICTED)
 
 
+def identified_documents(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents of a known language, all columns: those that are ``und``, or whose
+    score is below ``min_score``, go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches):
+        for batch in batches:
+            for part, data, at in pieces(batch):
+                p = _predict(shared.value, part, data, at)
+                good = pc.and_(pc.not_equal(p.column("lang_pred"), "und"), pc.greater_equal(p.column("score"), min_score))
+                yield part.filter(good)
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")

@@ -73,18 +73,18 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-DOCS = "doc_id long, n int, sid long"
+DOCS = "doc_id long, key long, n int, sid long"
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), sid (a hash of the set)."""
+    """doc_id, key (a hash of the text), n (shingles), sid (a hash of the set)."""
 
     def rows(batches):
         for part, s, bounds in _sets(batches):
             sid = [set_id(s[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield _batch(DOCS, part.column("doc_id").cast(pa.int64()), np.diff(bounds), sid)
+            yield _batch(DOCS, part.column("doc_id").cast(pa.int64()), part.column("key"), np.diff(bounds), sid)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, DOCS)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(rows, DOCS)
 
 
 COUNTS = "bucket long, hashes binary, counts binary"
@@ -257,7 +257,8 @@ def _sizes_fit(n, m):
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links), set_id."""
+    """doc_id, key (hash of the text), n_shingles, component_id (least doc_id reachable by
+    links), component (a number of its own; null: an empty set, alone)."""
     own = saved(document_sets(docs), "ngram-sets")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     reps = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -287,10 +288,23 @@ def linked_components(docs: DataFrame) -> DataFrame:
     named = reps.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = saved(named, "ngram-classes")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    of = named.join(least, "root").select(F.col("sid").alias("_sid"), "component_id")
+    of = named.join(least, "root").select(F.col("sid").alias("_sid"), "component_id", "root")
     out = own.join(of, (F.col("sid") == F.col("_sid")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sid").alias("set_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("root", "sid"))
+    return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), component.alias("component"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component, all columns: that of the least doc_id (null last;
+    of equal ones the least text hash).  Empty documents stay; of equal rows one stays."""
+    c = linked_components(docs)
+    best = c.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    stay = best.select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"))
+    stay = stay.unionByName(c.where(F.col("component").isNull()).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    out = own.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
+    return out.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("set_id")
+    return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
