@@ -12,13 +12,18 @@ yields is kept in a cache of at most ``CACHE`` pieces, which starts anew when fu
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+from tokenizers import Tokenizer
 
 from .wordhash import BLANK_SEPARATED, Words
 
 CACHE = 1 << 20
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 _U = np.uint64
 
 _LETTER = np.zeros(256, bool)
@@ -92,18 +97,13 @@ class Encoder:
     """Token ids by the tokenizers library, a piece at a time."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = Cache(self._ids)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for one in ids for x in one), np.int32, int(count.sum())), count
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum())), count
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin."""
@@ -119,6 +119,12 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: tasks that follow each other share its cache."""
+    return Encoder(path)
+
+
 def default_tokenizer() -> str:
     """word_bpe_49k.json of the installed public tokenizers."""
     import public_tokenizers

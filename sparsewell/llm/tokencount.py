@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,10 @@ class Merger:
             at = np.cumsum(keep) - 1
             seq, sym, rank = seq[keep], sym[keep], rank[keep]
             now = at[place]
-            stale = np.unique(np.concatenate((now, now[now > 0] - 1)))
+            touched = np.zeros(len(seq), bool)
+            touched[now] = True
+            touched[now[now > 0] - 1] = True
+            stale = np.flatnonzero(touched)
             rank[stale] = self.none
             stale = stale[stale + 1 < len(seq)]
             stale = stale[seq[stale] == seq[stale + 1]]
@@ -161,6 +165,12 @@ class Merger:
         return out
 
 
+@lru_cache(maxsize=1)
+def merger(path: str) -> Merger:
+    """The merger of this Python worker: tasks that follow each other share its cache."""
+    return Merger(path)
+
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -169,11 +179,9 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
     path = tokenizer or default_tokenizer()
 
     def rows(batches):
-        merger = None
         for batch in batches:
             for part, data, at in pieces(batch):
-                merger = merger or Merger(path)
-                n = merger.count(data, at)
+                n = merger(path).count(data, at)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(rows, SCHEMA)

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .files import open_new, open_old
-from .pretokens import Encoder, default_tokenizer
+from .pretokens import default_tokenizer, encoder
 from .store import new_path, saved
 from .wordhash import pieces
 
@@ -179,11 +179,11 @@ def write(docs: DataFrame, tokenizer: str | None = None, folder: str | None = No
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def rows(batches):
-        writer = encoder = None
+        writer = None
         for batch in batches:
             for part, data, at in pieces(batch):
-                encoder, writer = encoder or Encoder(path), writer or Writer(folder)
-                ids, bounds = encoder.encode(data, at)
+                writer = writer or Writer(folder)
+                ids, bounds = encoder(path).encode(data, at)
                 bounds = bounds + np.arange(len(bounds))
                 ended = np.full(bounds[-1], end_id, np.int32)
                 ended[np.delete(np.arange(bounds[-1]), bounds[1:] - 1)] = ids

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is handled alone, whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _P, _SEED = 0x9E3779B97F4A7C15 | 1, 0x243F6A8885A308D3
