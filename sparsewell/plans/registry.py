@@ -1,6 +1,622 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import encode, text
+from ..operators import index, metrics, profile, query, score
+from ..operators.topk import merge, top_k
+from ..sources import qrels as qrels_source
+from ..sources import sinks, synthetic, vectors
+from . import sql as S
+from .inputs import Tables
+from .retrieve import retrieve
+from .sql import CHUNK, RUN_COLUMNS, TEXT, VCHUNK, VECTOR, K
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+RUN = ["query_id", "doc_id", "score", "rank"]
+
+
+def registered(sql: str | None = None):
+    """Register a function of :class:`Tables` under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _run(t: Tables, k: int = K) -> DataFrame:
+    """The ranking of documents for benchmark passages, clustered by document."""
+    return score.docparallel(t.queries(), score.by_document(t.postings()), k).select(*RUN)
+
+
+def _vector_run(t: Tables, k: int = K) -> DataFrame:
+    return score.docparallel(t.vector_queries(), score.by_document(t.vector_postings()), k).select(*RUN)
+
+
+TOP = f"SELECT {RUN_COLUMNS} FROM run"
+VTOP = f"SELECT {RUN_COLUMNS} FROM vrun"
+
+# ---------------------------------------------------------------- exact scoring
+
+
+@registered(S.q(TEXT, TOP))
+def scatter_topk(t):
+    return score.scatter(t.queries(), t.postings(), K).select(*RUN)
+
+
+@registered(S.q(TEXT, TOP))
+def docparallel_topk(t):
+    return _run(t)
+
+
+@registered(S.q(TEXT, TOP))
+def chunked_topk(t):
+    return score.chunked(t.queries(), t.postings(), K, CHUNK).select(*RUN)
+
+
+@registered(S.q(TEXT, TOP))
+def sharded_topk(t):
+    return score.sharded(t.queries(), t.postings(), K, t.documents.count(), 2).select(*RUN)
+
+
+@registered(S.q(TEXT, TOP))
+def compacted_topk(t):
+    return score.compacted(t.queries(), t.postings(), K, CHUNK).select(*RUN)
+
+
+@registered(S.q(TEXT, TOP))
+def merged_runs(t):
+    """Rankings of even and odd documents, merged."""
+    p = t.postings()
+    halves = [score.scatter(t.queries(), p.where(F.col("doc_id") % 2 == r), K) for r in (0, 1)]
+    return merge(halves, K).select(*RUN)
+
+
+@registered(S.q(("dt", "dc", "p", "qtok", "q", "s"), "SELECT query_id, doc_id, score FROM s"))
+def score_matrix(t):
+    return score.scores(t.queries(), t.postings()).where("score <> 0")
+
+
+@registered(
+    S.q(
+        ("dt", "dc", "p", "qtok", "q", "s"),
+        f"SELECT {RUN_COLUMNS} FROM ({S.top('full_s', 100)})",
+        full_s="SELECT a.query_id, d.doc_id, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT query_id FROM q) a CROSS JOIN documents d LEFT JOIN s ON s.query_id = a.query_id AND s.doc_id = d.doc_id",
+    )
+)
+def scatter_topk_padzero(t):
+    p = t.postings()
+    return retrieve(t.queries(), index.SparseIndex(p, t.documents.select("doc_id"), index.term_stats(p)), 100, pad_zero=True)
+
+
+@registered(S.q(VECTOR, VTOP))
+def vector_topk(t):
+    return _vector_run(t)
+
+
+@registered(S.q(VECTOR, VTOP))
+def vector_chunked_topk(t):
+    return score.chunked(t.vector_queries(), t.vector_postings(), K, VCHUNK).select(*RUN)
+
+
+DENSE = S.q(
+    (),
+    f"SELECT {RUN_COLUMNS} FROM ({S.top('ds')})",
+    a="SELECT vec_id, list_transform(embedding, lambda x: CAST(ln(CAST(1 AS DOUBLE) + greatest(CAST(x AS DOUBLE), 0)) AS FLOAT)) AS v FROM embeddings",
+    ds="SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.v[i] * b.v[i] AS DOUBLE))), 6) AS score FROM a CROSS JOIN a b) WHERE score <> 0",
+)
+
+
+@registered(DENSE)
+def dense_topk(t):
+    """Dense product of all vectors, the exhaustive check of the sparse ones."""
+    v = t.embeddings.select("vec_id", F.transform("embedding", encode.activation).alias("dense"))
+    return score.dense(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "doc_id"), K).select(*RUN)
+
+
+@registered(S.q(VECTOR, VTOP))
+def densified_topk(t):
+    """Sparse vectors made dense again, then the dense product."""
+    d = encode.to_dense(t.vector_postings(), 64)
+    return score.dense(d.withColumnRenamed("doc_id", "query_id"), d, K).select(*RUN)
+
+
+@registered(S.q(("lp",), f"SELECT {RUN_COLUMNS} FROM ({S.top('z')})", lq="SELECT doc_id AS query_id, term, weight FROM lp", z0=S.scored("lq", "lp"), z="SELECT * FROM z0 WHERE query_id <> doc_id"))
+def lineitem_scatter_topk(t):
+    """Orders most alike by quantities of parts; an order may list a part twice, which adds."""
+    s = score.scores(t.purchases("query_id"), t.purchases()).where("score <> 0 and query_id <> doc_id")
+    return top_k(s, K).select(*RUN)
+
+
+@registered(S.q(("ep", "eq"), f"SELECT {RUN_COLUMNS} FROM ({S.top('z')})", z=S.scored("eq", "ep")))
+def events_scatter_topk(t):
+    """Users whose events are most like those of each day: five terms, so long lists."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    days = t.events.groupBy(day.alias("query_id"), F.col("event_type").alias("term")).agg(F.count("*").cast("float").alias("weight"))
+    return score.scatter(days, t.user_events(), K).select(*RUN)
+
+
+INT = "SELECT {k}, term, CAST(round(100 * ln(CAST(1 + {tf} AS DOUBLE))) AS BIGINT) AS weight FROM {src}"
+
+
+@registered(
+    S.q(
+        ("dt", "dc", "qtok"),
+        f"SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, rank FROM ({S.top('iz')})",
+        ip=INT.format(k="doc_id", tf="tf", src="dc"),
+        qc="SELECT query_id, term, count(*) AS tf FROM qtok WHERE term <> '' GROUP BY ALL",
+        iq=INT.format(k="query_id", tf="tf", src="qc"),
+        iz="SELECT query_id, doc_id, sum(iq.weight * ip.weight) AS score FROM iq JOIN ip USING (term) GROUP BY ALL HAVING sum(iq.weight * ip.weight) <> 0",
+    )
+)
+def impact_topk(t):
+    """Integer impacts: sums are the same bit for bit in any order."""
+    impact = F.round(F.lit(100) * F.log((F.col("tf") + 1).cast("double"))).cast("long").alias("weight")
+    p = encode.term_counts(t.documents, "doc_id").select("doc_id", "term", impact)
+    q = encode.term_counts(t.benchmark, "item_id").select(F.col("item_id").alias("query_id"), "term", impact)
+    s = score.products(q, p).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).where("score <> 0")
+    return top_k(s, K).select(*RUN)
+
+
+@registered(S.q(TEXT, "SELECT query_id, doc_id, score, rank, CAST((SELECT count(DISTINCT r2.query_id) FROM run r2 WHERE r2.query_id < run.query_id) // 16 AS BIGINT) AS batch FROM run"))
+def batched_topk(t):
+    """Queries numbered in batches of 16."""
+    q = query.batches(t.queries(), 16)
+    of = q.select("query_id", "batch").distinct()
+    return score.scatter(q, t.postings(), K).join(of, "query_id").select(*RUN, "batch")
+
+
+# ---------------------------------------------------------------- encoders
+
+
+@registered(S.q(("vx",), "SELECT vec_id, CAST(term AS INTEGER) AS term, CAST(ln(CAST(1 AS DOUBLE) + CAST(x AS DOUBLE)) AS FLOAT) AS weight FROM vx WHERE x > 0"))
+def splade_activation(t):
+    return encode.array_postings(t.embeddings, "vec_id", "embedding", "vec_id")
+
+
+POOL = "SELECT l_orderkey, l_partkey % 50 AS term, max(CAST(ln(CAST(1 AS DOUBLE) + greatest({x}, 0)) AS FLOAT)) AS weight FROM lineitem GROUP BY ALL HAVING weight > 0"
+
+
+def _logits(t):
+    return t.lineitem.select("l_orderkey", (F.col("l_partkey") % 50).alias("term"), (F.col("l_discount") - F.lit(0.03).cast("double")).alias("logit"), (F.col("l_returnflag") != "R").alias("kept"))
+
+
+@registered(POOL.format(x="l_discount - CAST(0.03 AS DOUBLE)"))
+def maxpool_encode(t):
+    """Max-pooling over positions: lines of an order stand for positions."""
+    return encode.max_pool(_logits(t), "l_orderkey", "term", "logit")
+
+
+@registered(POOL.format(x="CASE WHEN l_returnflag <> 'R' THEN l_discount - CAST(0.03 AS DOUBLE) ELSE 0 END"))
+def maxpool_masked(t):
+    return encode.max_pool(_logits(t), "l_orderkey", "term", "logit", "kept")
+
+
+@registered(
+    S.q(
+        ("dt", "dc", "qtok"),
+        f"SELECT {RUN_COLUMNS} FROM ({S.top('bz')})",
+        dl="SELECT doc_id, sum(tf) AS len FROM dc GROUP BY doc_id",
+        st="SELECT (SELECT count(*) FROM documents) AS n, CAST((SELECT sum(len) FROM dl) AS DOUBLE) / (SELECT count(*) FROM documents) AS avgdl",
+        df="SELECT term, count(*) AS df FROM dc GROUP BY term",
+        bw="SELECT doc_id, term, ln(CAST(1 AS DOUBLE) + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(1.9 AS DOUBLE) / (tf + CAST(0.9 AS DOUBLE) * (CAST(0.6 AS DOUBLE) + CAST(0.4 AS DOUBLE) * len / avgdl)) AS w FROM dc JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st",
+        qd="SELECT query_id, term, count(*) AS n FROM qtok WHERE term <> '' GROUP BY ALL",
+        bz="SELECT query_id, doc_id, round(sum(n * w), 6) AS score FROM qd JOIN bw USING (term) GROUP BY ALL",
+    )
+)
+def bm25_topk(t):
+    q = encode.term_counts(t.benchmark, "item_id").select(F.col("item_id").alias("query_id"), "term", F.col("tf").alias("weight"))
+    return score.scatter(q, encode.bm25_postings(t.documents), K).select(*RUN)
+
+
+@registered(
+    S.q(
+        (),
+        "SELECT doc_id, term, CAST(ln(CAST(1 + count(*) AS DOUBLE)) AS FLOAT) AS weight FROM c GROUP BY ALL",
+        a=f"SELECT doc_id, list_filter({S.WORDS.format('text')}, lambda x: x <> '')[1:128] AS w FROM documents",
+        c="SELECT doc_id, unnest(w) AS term FROM a",
+    )
+)
+def truncated_text_postings(t):
+    """Texts cut at 128 tokens, as an encoder's longest input would."""
+    return encode.text_postings(t.documents, max_tokens=128)
+
+
+@registered("SELECT page_id, trim(concat_ws(' ', url, left(html, 512))) AS text, concat(upper(left(url, 1)), lower(substring(url, 2))) AS capital, replace(url, '/', '_') AS file_name FROM pages")
+def text_functions(t):
+    """Title and text with a blank between; texts cut at 512 characters; names of files."""
+    p = t.pages.withColumn("head", F.left("html", F.lit(512)))
+    return p.select("page_id", text.title_text("url", "head").alias("text"), text.capitalized("url").alias("capital"), text.file_name("url").alias("file_name"))
+
+
+# ---------------------------------------------------------------- query preparation, pruning
+
+TRUNCATED = "SELECT query_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS n FROM q) WHERE n <= {}"
+
+
+@registered(S.q(("dt", "dc", "p", "qtok", "q"), f"SELECT {RUN_COLUMNS} FROM ({S.top('z')})", tq=TRUNCATED.format(8), z=S.scored("tq", "p")))
+def query_truncation(t):
+    return score.scatter(query.truncated(t.queries(), 8), t.postings(), K).select(*RUN)
+
+
+UB = "SELECT q.query_id, q.term, q.weight, CAST(q.weight * coalesce(ts.max_weight, CAST(0 AS FLOAT)) AS DOUBLE) AS ub FROM q LEFT JOIN ts USING (term)"
+KEPT = "SELECT query_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ub DESC, term) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM ub) WHERE r <= {}"
+PRUNE = ("dt", "dc", "p", "qtok", "q", "ts")
+
+
+@registered(S.q(PRUNE, f"SELECT {RUN_COLUMNS} FROM ({S.top('z')})", ub=UB, wq=KEPT.format("greatest(1, floor(n * 0.5))"), z=S.scored("wq", "p")))
+def wand_terms_topk(t):
+    p = t.postings()
+    return score.scatter(query.prune_by_terms(t.queries(), index.term_stats(p), 0.5), p, K).select(*RUN)
+
+
+@registered(S.q(PRUNE, f"SELECT {RUN_COLUMNS} FROM ({S.top('z')})", ub=UB, wq=KEPT.format(24), z=S.scored("wq", "p")))
+def wand_width_topk(t):
+    p = t.postings()
+    return score.scatter(query.prune_by_width(t.queries(), index.term_stats(p), 48, 0.5), p, K).select(*RUN)
+
+
+@registered(S.q(PRUNE, f"SELECT {RUN_COLUMNS} FROM ({S.top('z')})", ub=UB, wq="SELECT query_id, term, weight FROM ub WHERE ub >= CAST(1.2 AS DOUBLE)", z=S.scored("wq", "p")))
+def ub_threshold_topk(t):
+    p = t.postings()
+    return score.scatter(query.prune_by_bound(t.queries(), index.term_stats(p), 12.0), p, K).select(*RUN)
+
+
+SWEEP = " UNION ALL ".join(
+    f"SELECT CAST({w} AS BIGINT) AS width, round(CAST(sum(CASE WHEN b.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS recall FROM run a LEFT JOIN r{w} b USING (query_id, doc_id)" for w in (8, 16, 32, 64)
+)
+
+
+@registered(
+    S.q(TEXT, SWEEP, **{f"{a}{w}": sql for w in (8, 16, 32, 64) for a, sql in (("q", TRUNCATED.format(w)), ("s", S.scored(f"q{w}", "p")), ("r", S.top(f"s{w}")))})
+)
+def query_width_sweep(t):
+    """Recall against the exact ranking by width of the query."""
+    p, q = score.by_document(t.postings()), t.queries()
+    exact, out = score.scatter(q, p, K), None
+    for w in (8, 16, 32, 64):
+        r = metrics.recall_vs_exact(exact, score.scatter(query.truncated(q, w), p, K), K).select(F.lit(w).cast("long").alias("width"), "recall")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@registered(
+    S.q(("qtok", "q"), "SELECT count(*) AS n_queries, round(avg(n), 6) AS mean_terms, max(n) AS max_terms, CAST(least(max(n), 32) AS BIGINT) AS width, CAST(count(*) FILTER (n > 32) AS BIGINT) AS n_cut FROM (SELECT query_id, count(*) AS n FROM q GROUP BY query_id)")
+)
+def query_width_stats(t):
+    return query.width_stats(t.queries(), 32)
+
+
+# ---------------------------------------------------------------- index
+
+STATS = ("dt", "dc", "p", "ts")
+
+
+@registered(S.q(STATS, "SELECT * FROM ts"))
+def term_stats(t):
+    return index.term_stats(t.postings())
+
+
+@registered(S.q(STATS, "SELECT *, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id, CAST(coalesce(sum(padded) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ts"))
+def index_offsets(t):
+    return index.term_ids(index.offsets(index.term_stats(t.postings())))
+
+
+MB = "round(CAST({} AS DOUBLE) / CAST(1048576 AS DOUBLE), 6)"
+
+
+@registered(
+    S.q(
+        STATS,
+        f"SELECT CAST(p AS BIGINT) AS postings, CAST(a AS BIGINT) AS padded, terms, {MB.format('a * 4')} AS ids_mb, {MB.format('a * 4')} AS weights_mb, {MB.format('terms * 20')} AS meta_mb, round(1 - CAST(p AS DOUBLE) / a, 6) AS overhead, round((CAST(a AS DOUBLE) - p) / p, 6) AS overhead_of_kept, round(CAST(p AS DOUBLE) / terms, 6) AS avg_length FROM m",
+        m="SELECT sum(length) AS p, sum(padded) AS a, count(*) AS terms FROM ts",
+    )
+)
+def index_memory(t):
+    return index.memory(index.term_stats(t.postings()))
+
+
+@registered(
+    S.q(
+        ("vx", "vp"),
+        "SELECT term, chunk, CAST(hi - n AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM (SELECT *, sum(n) OVER (PARTITION BY term ORDER BY chunk) AS hi FROM c)",
+        c=f"SELECT term, CAST(floor(doc_id / {VCHUNK}) AS BIGINT) AS chunk, count(*) AS n FROM vp GROUP BY ALL",
+    )
+)
+def chunk_bounds(t):
+    return index.chunk_bounds(t.vector_postings(), VCHUNK)
+
+
+INVARIANT = "SELECT count(*) AS lists, CAST(count(*) FILTER (down > 0) AS BIGINT) AS bad, round(CAST(100 * count(*) FILTER (down > 0) AS DOUBLE) / count(*), 6) AS bad_percent, count(*) FILTER (down > 0) = 0 AS ascending FROM (SELECT term, count(*) AS n, count(*) FILTER (d < 0) AS down FROM (SELECT l_partkey AS term, l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_partkey ORDER BY {o}) AS d FROM lineitem) GROUP BY term) WHERE n >= 2"
+
+
+@registered(INVARIANT.format(o="l_orderkey, l_linenumber"))
+def posting_invariant(t):
+    x = t.lineitem.select(F.col("l_partkey").alias("term"), F.col("l_orderkey").alias("doc_id"), F.struct("l_orderkey", "l_linenumber").alias("position"))
+    return index.unsorted_lists(x)
+
+
+@registered(INVARIANT.format(o="l_shipdate, l_orderkey, l_linenumber"))
+def posting_invariant_broken(t):
+    """Lists in another order: the check must find them."""
+    x = t.lineitem.select(F.col("l_partkey").alias("term"), F.col("l_orderkey").alias("doc_id"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("position"))
+    return index.unsorted_lists(x)
+
+
+PROFILE = "SELECT count(*) AS n_vectors, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS min, max(n) AS max, CAST(quantile_disc(n, 0.5) AS BIGINT) AS median FROM (SELECT doc_id, count(*) AS n FROM {} GROUP BY doc_id)"
+
+
+@registered(S.q(("dt", "dc", "p"), PROFILE.format("p")))
+def doc_vector_stats(t):
+    return profile.width_profile(t.postings())
+
+
+@registered(S.q(("lp",), "SELECT doc_id, term, weight FROM (SELECT doc_id, term, CAST(sum(weight) AS FLOAT) AS weight FROM lp GROUP BY ALL)"))
+def vector_round_trip(t):
+    """Postings to one array row a document and back; equal (document, term) rows add up."""
+    return index.from_vectors(index.doc_vectors(t.purchases()))
+
+
+@registered(S.q(("vx", "vp", "lp"), "SELECT CAST(max(t) + 2 AS BIGINT) AS dimension FROM (SELECT CAST(term AS BIGINT) AS t FROM vp UNION ALL SELECT term FROM lp)"))
+def dimension(t):
+    return index.dimension(t.vector_postings().select(F.col("term").cast("long").alias("term")), t.purchases().select("term"))
+
+
+@registered(S.q(("dt", "dc"), "SELECT term, count(DISTINCT doc_id) AS df FROM dc GROUP BY term"))
+def doc_freq(t):
+    return profile.document_frequency(t.postings())
+
+
+@registered(
+    "SELECT shard, min(doc_id) AS first_doc, max(doc_id) AS last_doc, count(*) AS n_docs FROM (SELECT doc_id, CAST(floor((doc_id - lo) / ceil((hi - lo) / 4)) AS BIGINT) AS shard FROM documents CROSS JOIN (SELECT min(doc_id) AS lo, max(doc_id) + 1 AS hi FROM documents)) GROUP BY shard"
+)
+def shard_ranges(t):
+    return index.shard_ranges(t.documents.select("doc_id"), 4)
+
+
+@registered(
+    f"SELECT count(*) AS n_docs, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.9), 6) AS p90, max(n) AS max, round(avg(CASE WHEN n > 512 THEN 1.0 ELSE 0.0 END), 6) AS over_limit FROM (SELECT len(list_filter({S.WORDS.format('text')}, lambda x: x <> '')) AS n FROM documents)"
+)
+def token_length_profile(t):
+    return profile.token_profile(t.documents, 512)
+
+
+# ---------------------------------------------------------------- evaluation
+
+EVAL = (*TEXT, "run100", "rel")
+ALL = "SELECT DISTINCT query_id FROM q"
+
+
+@registered(S.q(EVAL, S.mean_metric("mrr", S.mrr_sql("run", "rel", K), S.JUDGED.format("rel"))))
+def mrr_judged(t):
+    return metrics.mrr(_run(t), t.qrels(), K)
+
+
+@registered(S.q(EVAL, S.mean_metric("mrr", S.mrr_sql("run", "rel", K), ALL)))
+def mrr_all(t):
+    return metrics.mrr(_run(t), t.qrels(), K, "all", t.queries())
+
+
+@registered(S.q(EVAL, S.mean_metric("ndcg", S.ndcg_sql("run", "rel", K, "linear"), S.JUDGED.format("rel"))))
+def ndcg_linear(t):
+    return metrics.ndcg(_run(t), t.qrels(), K)
+
+
+@registered(S.q(EVAL, S.mean_metric("ndcg", S.ndcg_sql("run", "rel", K, "exponential"), S.JUDGED.format("rel"))))
+def ndcg_exp(t):
+    return metrics.ndcg(_run(t), t.qrels(), K, "exponential")
+
+
+@registered(S.q(EVAL, S.mean_metric("recall", S.recall_sql("run100", "rel", 100), S.JUDGED.format("rel"))))
+def recall_at_k(t):
+    return metrics.recall(_run(t, 100), t.qrels(), 100)
+
+
+BUNDLE = "SELECT CAST({k} AS BIGINT) AS k, mrr, ndcg, recall, m.n_queries FROM ({a}) m CROSS JOIN ({b}) n CROSS JOIN ({c}) r"
+
+
+@registered(
+    S.q(
+        (*VECTOR, "vrel"),
+        " UNION ALL ".join(
+            BUNDLE.format(k=k, a=S.mean_metric("mrr", S.mrr_sql("vself", "vrel", k), S.JUDGED.format("vrel")), b=S.mean_metric("ndcg", S.ndcg_sql("vself", "vrel", k, "linear"), S.JUDGED.format("vrel")), c=S.mean_metric("recall", S.recall_sql("vself", "vrel", k), S.JUDGED.format("vrel")))
+            for k in (5, 10)
+        ),
+        vself="SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM vrun WHERE doc_id <> query_id",
+    )
+)
+def evaluate_classes(t):
+    """All metrics of nearest vectors against their classes, the vector itself left out."""
+    return metrics.evaluate(metrics.without_self(_vector_run(t)), t.class_qrels(), (5, 10))
+
+
+@registered(S.q(VECTOR, "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS rank FROM vrun WHERE doc_id <> query_id"))
+def self_match_removal(t):
+    return metrics.without_self(_vector_run(t)).select(*RUN)
+
+
+@registered(S.q(("rel",), "SELECT relevance, count(*) AS n, (SELECT bool_and(relevance IN (0, 1)) FROM rel) AS is_binary FROM rel GROUP BY relevance"))
+def qrels_profile(t):
+    return metrics.grading_profile(t.qrels())
+
+
+APPROX = dict(ub=UB, wq=KEPT.format("greatest(1, floor(n * 0.5))"), wz=S.scored("wq", "p"), wr=S.top("wz"), m="SELECT query_id, count(*) AS n, count(b.doc_id) AS m FROM run a LEFT JOIN (SELECT query_id, doc_id FROM wr) b USING (query_id, doc_id) GROUP BY query_id")
+APPROX["m"] = "SELECT a.query_id, count(*) AS n, count(b.doc_id) AS m FROM run a LEFT JOIN wr b ON a.query_id = b.query_id AND a.doc_id = b.doc_id GROUP BY a.query_id"
+
+
+def _exact_and_pruned(t):
+    p, q = score.by_document(t.postings()), t.queries()
+    return score.scatter(q, p, K), score.scatter(query.prune_by_terms(q, index.term_stats(p)), p, K)
+
+
+@registered(S.q((*TEXT, "ts"), "SELECT round(CAST(sum(m) AS DOUBLE) / sum(n), 6) AS recall FROM m", **APPROX))
+def recall_vs_exact_micro(t):
+    return metrics.recall_vs_exact(*_exact_and_pruned(t), K, "micro")
+
+
+@registered(S.q((*TEXT, "ts"), "SELECT round(avg(CAST(m AS DOUBLE) / n), 6) AS recall FROM m", **APPROX))
+def recall_vs_exact_macro(t):
+    return metrics.recall_vs_exact(*_exact_and_pruned(t), K, "macro")
+
+
+@registered(S.q((*TEXT, "ts"), f"SELECT round(avg(CAST(m AS DOUBLE) / {K}), 6) AS overlap FROM m", **APPROX))
+def overlap_at_k(t):
+    return metrics.overlap(*_exact_and_pruned(t), K)
+
+
+@registered(S.q((*TEXT, "ts"), "SELECT round(max(d), 6) AS max_difference, round(max(d) FILTER (rank = 1), 6) AS top_difference FROM (SELECT rank, abs(run.score - wr.score) AS d FROM run JOIN wr USING (query_id, rank))", **APPROX))
+def score_diff(t):
+    return metrics.score_difference(*_exact_and_pruned(t))
+
+
+@registered(S.q((), "SELECT CAST(0 AS BIGINT) AS different_rows, true AS identical"))
+def strategies_identical(t):
+    """The document-clustered and the chunked ranking of vectors have the same rows."""
+    return metrics.identical(_vector_run(t), score.chunked(t.vector_queries(), t.vector_postings(), K, VCHUNK).select(*RUN))
+
+
+@registered(S.q(VECTOR, "SELECT query_id, count(*) AS n_near FROM vs JOIN (SELECT query_id, min(score) AS kth FROM vrun GROUP BY query_id) USING (query_id) WHERE abs(score - kth) <= 1e-3 GROUP BY query_id"))
+def near_kth(t):
+    s = score.scores(t.vector_queries(), score.by_document(t.vector_postings())).where("score <> 0")
+    return metrics.near_kth(s, top_k(s, K), 1e-3)
+
+
+@registered(
+    S.q(
+        ("vx", "vp", "vq", "vs"),
+        "SELECT chunk, count(*) AS scored, CAST(count(*) FILTER (n < 10 OR score >= tau) AS BIGINT) AS candidates FROM sc JOIN tau USING (query_id, chunk) GROUP BY chunk",
+        sc=f"SELECT *, CAST(floor(doc_id / {VCHUNK}) AS BIGINT) AS chunk FROM vs",
+        tau=f"SELECT c.query_id, c.chunk, count(*) AS n, min(s.score) AS tau FROM (SELECT DISTINCT query_id, chunk FROM sc) c, LATERAL (SELECT score FROM sc WHERE sc.query_id = c.query_id AND sc.chunk <= c.chunk ORDER BY score DESC LIMIT {K}) s GROUP BY ALL",
+    )
+)
+def candidate_decay(t):
+    """Pairs that a running threshold still lets through, chunk by chunk."""
+    return score.candidate_decay(t.vector_queries(), score.by_document(t.vector_postings()), K, VCHUNK)
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+@registered("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
+def dedupe_docs(t):
+    """Of documents of one text the first."""
+    return vectors.first_documents(t.documents.select("doc_id", "text"), "text", "doc_id")
+
+
+@registered(
+    S.q(("rel",), "SELECT doc_id, judged FROM j UNION ALL SELECT * FROM (SELECT doc_id, false AS judged FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM j) ORDER BY doc_id LIMIT greatest(0, 100 - (SELECT count(*) FROM j)))", j="SELECT DISTINCT doc_id, true AS judged FROM rel")
+)
+def judged_filler_subset(t):
+    """All judged documents, filled up with others to 100."""
+    rel = t.qrels().cache()
+    d = vectors.judged_and_filler(t.documents.select("doc_id"), rel, 100)
+    return d.join(rel.select("doc_id", F.lit(True).alias("judged")).distinct(), "doc_id", "left").select("doc_id", F.coalesce("judged", F.lit(False)).alias("judged"))
+
+
+@registered(S.q(("rel",), "SELECT item_id AS query_id FROM benchmark WHERE item_id IN (SELECT query_id FROM rel)"))
+def judged_queries(t):
+    return vectors.judged_queries(t.benchmark.select(F.col("item_id").alias("query_id")), t.qrels())
+
+
+@registered(S.q(TEXT, "SELECT query_id, rank, concat(query_id, ' Q0 ', doc_id, ' ', rank, ' ', printf('%.6f', score), ' sparsewell') AS line FROM run WHERE score > 0"))
+def trec_run(t):
+    return sinks.run_lines(_run(t))
+
+
+@registered(
+    S.q(("dt", "dc", "p", "qtok", "q"), "SELECT CAST(doc_id AS VARCHAR) AS id, vocab.term_id, weight FROM p JOIN vocab USING (term)", vocab="SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM (SELECT DISTINCT term FROM q)")
+)
+def json_vectors(t):
+    """Vectors written as JSON lines, some broken or empty, read again and numbered by a
+    vocabulary; tokens outside it are dropped."""
+    m = F.map_from_entries(F.collect_list(F.struct("term", F.col("weight").cast("double"))))
+    good = t.postings().groupBy("doc_id").agg(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), m.alias("vector"))).alias("line"))
+    bad = t.region.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.element_at(F.array(F.lit("{broken"), F.lit('{"id": "x", "vector": {}}'), F.lit('{"id": "y"}')), (F.col("r_regionkey") % 3 + 1).cast("int")).alias("line"))
+    lines = good.unionByName(bad).select("line", F.col("doc_id").alias("ordinal"))
+    vocab = index.term_ids(t.queries().select("term").distinct()).select(F.col("term").alias("token"), "term_id")
+    return vectors.with_vocabulary(vectors.parse_json_vectors(lines), vocab).select("id", "term_id", "weight")
+
+
+@registered(
+    S.q((), "SELECT CAST(o_custkey AS VARCHAR) AS query_id, CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(o_orderkey % 3 AS BIGINT) AS relevance FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 5 <> 0")
+)
+def qrels_tsv(t):
+    """Judgements as text of three and four columns; short lines and grades of 0 go."""
+    q, d, r = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 3).cast("string")
+    line = F.when(F.col("o_orderkey") % 5 == 0, F.concat_ws("\t", q, d)).when(F.col("o_orderkey") % 2 == 0, F.concat_ws("\t", q, F.lit("0"), d, r)).otherwise(F.concat_ws("\t", q, d, r))
+    return qrels_source.parse_qrels(t.orders.select(line.alias("line"), F.col("o_orderkey").alias("ordinal")))
+
+
+@registered(
+    "WITH n AS (SELECT o_custkey, epoch(o_orderdate - lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) / 86400 AS seconds FROM orders) SELECT count(*) AS n, round(avg(seconds), 6) AS mean, round(quantile_cont(seconds, 0.5), 6) AS median, round(quantile_cont(seconds, 0.99), 6) AS p99, round(count(*) / sum(seconds), 6) AS per_second FROM n WHERE seconds IS NOT NULL"
+)
+def latency_profile(t):
+    """The latency summary, of days between a customer's orders."""
+    from pyspark.sql import Window as W
+
+    before = F.lag("o_orderdate").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    days = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / F.lit(86400e6)
+    return profile.latency_profile(t.orders.select(days.alias("seconds")).where("seconds is not null"))
+
+
+# ---------------------------------------------------------------- synthetic collections
+
+
+def _draw(seed: int, *parts: str) -> str:
+    x = f"CAST({seed} AS BIGINT)"
+    for p in parts:
+        x = f"((({x}) * 48271 + ({p}) * 69621 + 11) % {synthetic.PRIME})"
+    for _ in range(3):
+        x = f"((({x}) * 48271 + 12345) % {synthetic.PRIME})"
+    return f"(CAST({x} AS DOUBLE) / CAST({synthetic.PRIME} AS DOUBLE))"
+
+
+N_SYNTH, V_SYNTH = 500, 997
+UNIFORM = f"""
+WITH d AS (SELECT i AS doc_id, greatest(10, CAST(floor(({_draw(42, 'i')} + {_draw(43, 'i')}) * 50) AS BIGINT)) AS n FROM range({N_SYNTH}) r(i)),
+x AS (SELECT doc_id, unnest(range(1, n + 1)) AS j FROM d)
+SELECT doc_id, CAST(floor({_draw(44, 'doc_id', 'j')} * {V_SYNTH}) AS BIGINT) AS term, CAST(CAST(0.1 AS DOUBLE) + {_draw(45, 'doc_id', 'j')} * CAST(2.9 AS DOUBLE) AS FLOAT) AS weight FROM x
+"""
+
+
+@registered(UNIFORM)
+def synthetic_uniform(t):
+    return synthetic.documents(t.spark, N_SYNTH, 50, V_SYNTH, zipf=None)
+
+
+@registered(f"WITH z AS ({UNIFORM}) SELECT doc_id, term, max(weight) AS weight FROM z GROUP BY ALL")
+def synthetic_distinct(t):
+    """Each term once a document."""
+    return synthetic.documents(t.spark, N_SYNTH, 50, V_SYNTH, zipf=None, duplicates=False)
+
+
+@registered()
+def synthetic_zipf(t):
+    """Power-law terms; powers differ in the last bit between engines, so there is no SQL."""
+    return synthetic.documents(t.spark, N_SYNTH, 50, V_SYNTH)
+
+
+@registered()
+def synthetic_queries(t):
+    return synthetic.queries(t.spark, 50, V_SYNTH)
+
+
+@registered()
+def synthetic_passages(t):
+    return synthetic.passages(t.spark, N_SYNTH)
+
+
+@registered()
+def synthetic_questions(t):
+    return synthetic.questions(t.spark, 50)
