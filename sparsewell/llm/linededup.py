@@ -41,7 +41,7 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and the hash of all its lines."""
     lines = _texts(docs).select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     squeezed = F.trim(F.regexp_replace("s", SPACE, " "))
-    n = F.when(squeezed == "", 0).otherwise(F.length(squeezed) - F.length(F.translate(squeezed, " ", "")) + 1).cast("long")
+    n = F.when(squeezed == "", 0).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
     lines = lines.select("doc_id", "tkey", "line", F.xxhash64("s").alias("h"), n.alias("n")).where("n > 0")
     lines = lines.repartition("doc_id", "tkey").dropDuplicates(["doc_id", "tkey", "line"])
     of = W.partitionBy("doc_id", "tkey")
