@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import saved
+from .store import saved, small_batches
 from .wordhash import BLANK_SEPARATED, Words, mixed, pieces, shingles
 
 K, PERCENT = 5, 80
@@ -259,6 +259,11 @@ def _sizes_fit(n, m):
 def linked_components(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, component_id (least doc_id reachable by
     links), component (a number of its own; null: an empty set, alone)."""
+    with small_batches(docs.sparkSession):  # a pair to compare brings two sets with it
+        return _linked_components(docs)
+
+
+def _linked_components(docs: DataFrame) -> DataFrame:
     own = saved(document_sets(docs), "ngram-sets")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     reps = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
