@@ -95,7 +95,8 @@ class Index:
         df = np.array([len(set(self.template[a : a + n])) for a, n in zip(self.first, self.count, strict=True)])
         self.idf = np.log(1 + len(templates) / df)
         self.mass = np.zeros(len(templates))
-        np.add.at(self.mass, self.template, np.repeat(self.idf, self.count))
+        pairs = np.unique(np.stack((self.template, np.repeat(np.arange(len(self.terms)), self.count))), axis=1)
+        np.add.at(self.mass, pairs[0], self.idf[pairs[1]])
         wanted = np.unique(np.concatenate([p[:1] for p, _ in self.base] + [k[:1] for ks in self.keys for k in ks]))
         self.wanted = wanted
 
