@@ -20,11 +20,17 @@ lists, and end in a table of ``TABLE_BITS`` bits of hash with 4 bits of level ea
 frequent shingle; two shingles in one slot only cost selectivity, as any order gives
 the same links.
 
-**Verification** needs no pair twice and few in groups of near copies: first every
-member of a posting list is compared with the list's hub only, and the links found make
-components; then, for lists that still span several components, the pairs across
-components are compared, in all.  What remains unlinked was compared or shares no
-posting.  Sets are compared by 48 bits of their shingles' hashes.
+**Verification** does not take all pairs of a list.  First every member is compared
+with the list's hub only, the set with the fewest shingles of its own (of near copies
+that is their original), and the links found make components.  Lists that still span
+several components are then joined by differences: if D(x) is the symmetric difference
+of x and the hub, x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, and
+link if these are at most (n(x) + n(y)) / 9.  Of two sets in different components one, x,
+is not linked to the hub, so |D(x)| > (n(x) + n(hub)) / 9; it follows that y must share
+more than (|D(y)| + (n(hub) - n(y)) / 9) / 2 of its differences with x, and x at least
+|D(x)| - n(x) / 4 of its own with y.  Both are prefix filters, and as near copies mostly
+differ from the original in shingles of their own, few candidates remain; all are
+compared.  Sets are compared by 48 bits of their shingles' hashes.
 
 Defined cases: a text without words is empty, links with nothing and is a component of
 its own; a text of fewer than five words has one shingle, its whole sequence; equal rows
@@ -68,7 +74,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
@@ -186,7 +192,7 @@ def signatures(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-POSTINGS = "sig long, sid long, n int"
+POSTINGS = "sig long, sid long, n int, alone int"
 
 
 def postings(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -199,15 +205,15 @@ def postings(docs: DataFrame, table: np.ndarray) -> DataFrame:
             n = np.diff(bounds)
             alone = np.concatenate(([0], np.cumsum(level == 0)))
             alone = alone[bounds[1:]] - alone[bounds[:-1]]
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, int]] = []
             for d in np.flatnonzero((n > 3) & (alone <= n - -(-PERCENT * n // 100))).tolist():
                 a, b = bounds[d], bounds[d + 1]
                 sig = signatures(s[a:b], level[a:b])
                 if len(sig):
-                    out.append((sig, set_id(s[a:b]), b - a))
+                    out.append((sig, set_id(s[a:b]), b - a, alone[d]))
             if out:
-                sizes = [len(x) for x, _, _ in out]
-                yield _batch(POSTINGS, np.concatenate([x for x, _, _ in out]).view(np.int64), np.repeat([x for _, x, _ in out], sizes), np.repeat([x for _, _, x in out], sizes))
+                sig, *rest = zip(*out, strict=True)
+                yield _batch(POSTINGS, np.concatenate(sig).view(np.int64), *(np.repeat(x, [len(y) for y in sig]) for x in rest))
 
     return docs.select("doc_id", "text").mapInArrow(rows, POSTINGS)
 
@@ -252,6 +258,38 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
+DIFFERENCES = "hub long, token long, sid long, n int, root long, as_x boolean, as_y boolean"
+
+
+def differences(members: DataFrame, sets: DataFrame, table: np.ndarray) -> DataFrame:
+    """For members (hub, sid, n, root) of lists, the prefixes of their differences from the
+    hub, rarest first: the part that counts for a set not linked to the hub (as_x), and for
+    any partner of such a set (as_y).  Shingles of one document only take their places but
+    give no row."""
+    shared = members.sparkSession.sparkContext.broadcast(table)
+
+    def rows(batches):
+        levels = shared.value
+        for batch in batches:
+            for hub, sid, n, root, x, y in zip(*(batch.column(c).to_pylist() for c in ("hub", "sid", "n", "root", "x", "y")), strict=True):
+                h, own = _wide(x), _wide(y)
+                d = np.setxor1d(h, own, assume_unique=True)
+                level = look_up(levels, d << _U(16))
+                order = np.lexsort((d, level))
+                d, level, size = d[order], level[order], len(d)
+                apart = 9 * size > n + len(h)
+                end_x = min(size, size - max(1, size - n // 4) + 1) if apart else 0
+                end_y = max(0, size - (9 * size + len(h) - n) // 18)
+                at = np.flatnonzero(level[: max(end_x, end_y)] > 0)
+                if len(at):
+                    same = lambda v: np.full(len(at), v)  # noqa: B023, E731
+                    yield _batch(DIFFERENCES, same(hub), d[at].view(np.int64), same(sid), same(n), same(root), at < end_x, at < end_y)
+
+    side = lambda k, v: sets.select(F.col("sid").alias(k), F.col("hashes").alias(v))
+    m = members.join(side("hub", "x"), "hub").join(side("sid", "y"), "sid")
+    return m.select("hub", "sid", "n", "root", "x", "y").mapInArrow(rows, DIFFERENCES)
+
+
 def _sizes_fit(n, m):
     return PERCENT * F.greatest(n, m) <= 100 * F.least(n, m)
 
@@ -267,26 +305,28 @@ def _linked_components(docs: DataFrame) -> DataFrame:
     own = saved(document_sets(docs), "ngram-sets")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     reps = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    post = saved(postings(docs, frequency_table(docs, total)).distinct(), "ngram-postings")
-    hubs = post.groupBy("sig").agg(F.min(F.struct("sid", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    post = saved(post.join(hubs.select("sig", "hub"), "sig"), "ngram-lists")
+    table = frequency_table(docs, total)
+    post = saved(postings(docs, table).distinct(), "ngram-postings")
+    hubs = post.groupBy("sig").agg(F.min(F.struct("alone", "sid", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    post = saved(post.join(hubs, "sig").select("sig", "sid", "n", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), "members"), "ngram-lists")
 
-    stars = post.where((F.col("sid") != F.col("hub.sid")) & _sizes_fit(F.col("n"), F.col("hub.n")))
-    stars = saved(stars.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).distinct(), "ngram-stars")
+    stars = post.where((F.col("sid") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n")))
+    stars = saved(stars.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct(), "ngram-stars")
     wanted = post.select("sid").distinct().join(reps, "sid").select(F.col("rep").alias("doc_id")).distinct()
     sets = saved(sets_of(docs, wanted), "ngram-compared")
     links = saved(verified(stars, sets), "ngram-links")
     roots = components(links)
 
-    # lists that still span components: all pairs across them
-    named = post.join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    mixed_lists = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    named = saved(named.join(mixed_lists, "sig", "left_semi"), "ngram-across")
-    other = named.select("sig", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"))
-    across = named.withColumnRenamed("sid", "a").join(other, "sig").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("m")))
-    across = across.select("a", "b").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(verified(saved(across.join(tried, ["a", "b"], "left_anti"), "ngram-pairs"), sets), "ngram-links")
+    # lists that still span components
+    named = post.where("members > 2").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    members = named.join(split, "sig", "left_semi").where("sid <> hub").select("hub", "sid", "n", "root").distinct()
+    diff = saved(differences(members, sets, table), "ngram-differences")
+    x = diff.where("as_x").select("hub", "token", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp"))
+    y = diff.where("as_y").select("hub", "token", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"))
+    met = x.join(y, ["hub", "token"]).where((F.col("rp") != F.col("rq")) & _sizes_fit(F.col("np"), F.col("nq")))
+    met = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    more = saved(verified(saved(met.join(stars, ["a", "b"], "left_anti"), "ngram-pairs"), sets), "ngram-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
