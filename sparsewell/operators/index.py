@@ -62,15 +62,28 @@ def term_stats(postings: DataFrame, term: str = "term") -> DataFrame:
     )
 
 
+def _running(stats: DataFrame, term: str, value, name: str) -> DataFrame:
+    """stats with the sum of ``value`` over all terms before.  In two levels, so that no task
+    sees the whole vocabulary: over ranges of terms, then within each."""
+    kind = stats.schema[term].dataType.typeName()
+    part = F.left(F.col(term), F.lit(3)) if kind == "string" else F.floor(F.col(term) / 65536)
+    x = stats.withColumn("_part", part).withColumn("_v", value)
+    sums = x.groupBy("_part").agg(F.sum("_v").alias("_n"))
+    ahead = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("_part", F.coalesce(ahead, F.lit(0)).alias("_base"))
+    within = F.sum("_v").over(W.partitionBy("_part").orderBy(term).rowsBetween(W.unboundedPreceding, -1))
+    x = x.withColumn("_at", F.coalesce(within, F.lit(0))).join(sums, "_part")
+    return x.withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_v", "_base", "_at")
+
+
 def term_ids(stats: DataFrame, term: str = "term") -> DataFrame:
-    """stats with term_id, the place of the term in order.  One pass over the vocabulary."""
-    return stats.withColumn("term_id", (F.row_number().over(W.orderBy(term)) - 1).cast("long"))
+    """stats with term_id, the place of the term in order."""
+    return _running(stats, term, F.lit(1), "term_id")
 
 
 def offsets(stats: DataFrame, term: str = "term") -> DataFrame:
     """stats with offset, where the padded list of the term begins."""
-    before = W.orderBy(term).rowsBetween(W.unboundedPreceding, -1)
-    return stats.withColumn("offset", F.coalesce(F.sum("padded").over(before), F.lit(0)).cast("long"))
+    return _running(stats, term, F.col("padded"), "offset")
 
 
 def memory(stats: DataFrame) -> DataFrame:
