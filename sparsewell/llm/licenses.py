@@ -1,13 +1,13 @@
 """License scans: a positional rare-token index over licence templates.
 
 The templates' words are indexed with their positions and weighed by inverse document
-frequency over the templates.  For each text the words that any template has are its
-licence words; the highest-IDF ones of them look up template postings, and the
-differences between their position in the text and in the template are intersected:
-a template stands where enough of its rare words agree on one shift (shifts are taken
-in steps, two overlapping grids, so small insertions do not hide it).  A template's
-label is given only if one of its mandatory key phrases stands in the text as
-consecutive words.
+frequency over the templates.  Of a text, all words that few templates have (its
+highest-IDF licence words) look up template postings, and the differences between their
+position in the text and in the template are intersected: a template is a candidate
+where some of its rare words agree on one shift (shifts are taken in steps, on two
+overlapping grids, so small insertions do not hide it).  Its label is given if one of
+its mandatory key phrases stands in the text as consecutive words; its score is the
+share of its whole IDF mass, all words counted, that agrees on one shift.
 
 Defined cases: a null or blank text has no words, no labels and score 0; equal rows each
 give a row; an empty table gives an empty result; further columns are ignored.  Texts
@@ -72,8 +72,9 @@ TEMPLATES = {
         ["permission to use copy modify and or distribute this software"],
     ),
 }
-#: Words looked up at once; width of a shift cell; distinct words that must agree on a shift.
-RARE_WORDS, STEP, AGREE = 64, 8, 3
+#: Templates that may have a rare word; words looked up at once; width of a shift cell;
+#: distinct rare words that make a candidate, and words that make a score.
+RARE_IN, BLOCK, STEP, CANDIDATE, AGREE = 3, 64, 8, 2, 3
 
 
 def _hashes(phrase: str) -> np.ndarray:
@@ -93,7 +94,7 @@ class Index:
         self.template, self.at = (np.array([r[k] for r in rows])[order] for k in (1, 2))
         self.terms, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         df = np.array([len(set(self.template[a : a + n])) for a, n in zip(self.first, self.count, strict=True)])
-        self.idf = np.log(1 + len(templates) / df)
+        self.idf, self.rare = np.log(1 + len(templates) / df), df <= RARE_IN
         self.mass = np.zeros(len(templates))
         pairs = np.unique(np.stack((self.template, np.repeat(np.arange(len(self.terms)), self.count))), axis=1)
         np.add.at(self.mass, pairs[0], self.idf[pairs[1]])
@@ -105,14 +106,35 @@ class Index:
         i = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         return self.terms[i] == h, i
 
+    def candidates(self, terms: np.ndarray, places: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
+        """(text, template) pairs in which rare words agree on a shift.  terms, places, doc:
+        licence words of many texts."""
+        own = self.rare[terms]
+        terms, places, doc = terms[own], places[own], doc[own]
+        n = self.count[terms]
+        post = np.repeat(self.first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        term, shift, pair = np.repeat(terms, n), np.repeat(places, n) - self.at[post], np.repeat(doc, n) * len(self.names) + self.template[post]
+        found: set[int] = set()
+        for grid in (0, STEP // 2):
+            cell = (shift + grid) // STEP
+            order = np.lexsort((term, cell, pair))
+            p, c, t = pair[order], cell[order], term[order]
+            new = np.ones(len(p), bool)
+            new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
+            once = new.copy()
+            once[1:] |= t[1:] != t[:-1]
+            agree = np.bincount(np.cumsum(new) - 1, once)
+            found.update(p[new][agree >= CANDIDATE].tolist())
+        return {divmod(x, len(self.names)) for x in found}
+
     def aligned(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Per template, the largest share of its IDF mass that agrees on a shift.  terms,
         places: a text's licence words."""
         best = np.zeros(len(self.names))
         rare = np.argsort(-self.idf[terms], kind="stable")
         votes = []
-        for lo in range(0, len(rare), RARE_WORDS):  # rarest first, in blocks, until all words are looked up
-            t, p = terms[rare[lo : lo + RARE_WORDS]], places[rare[lo : lo + RARE_WORDS]]
+        for lo in range(0, len(rare), BLOCK):  # rarest first, in blocks, until all words are looked up
+            t, p = terms[rare[lo : lo + BLOCK]], places[rare[lo : lo + BLOCK]]
             n = self.count[t]
             post = np.repeat(self.first[t] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             votes.append((self.template[post], np.repeat(p, n) - self.at[post], np.repeat(t, n)))
@@ -177,12 +199,15 @@ def _scan_piece(index: Index, part: pa.RecordBatch, data: np.ndarray, at: np.nda
             base_labels[d].add(label)
             labels[d].add(label)
             score[d] = 1.0
+    licence = np.flatnonzero(known)
+    candidates = index.candidates(term[licence], licence, doc[licence])
     keyed: dict[int, set[int]] = {}
     for t, phrases in enumerate(index.keys):
+        of = {d for d, u in candidates if u == t}
         for phrase in phrases:
             s = phrase_starts(h, doc, spots[h[spots] == phrase[0]], phrase)
-            for d in np.unique(doc[s]):
-                keyed.setdefault(int(d), set()).add(t)
+            for d in of.intersection(doc[s].tolist()):
+                keyed.setdefault(d, set()).add(t)
     for d, found in keyed.items():
         own = np.arange(bounds[d], bounds[d + 1])[known[bounds[d] : bounds[d + 1]]]
         share = index.aligned(term[own], own - bounds[d]) if len(own) else np.zeros(len(index.names))
