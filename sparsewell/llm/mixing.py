@@ -28,18 +28,26 @@ from .store import saved
 
 WEIGHTS = (5, 2, 1)
 GOLDEN = 0.6180339887498949
-#: Hash ranges of a stream, slots of a schedule range, cells of the unit interval.
-RANGES, SLOT_RANGE, CELLS = 4096, 65536, 1024
+#: Hex digits of the hash that make a range of a stream; slots of a range of the schedule;
+#: cells of the unit interval.
+RANGE_DIGITS, SLOT_RANGE, CELLS = 3, 65536, 1024
+SEED = "20241"
 #: Above this many sources their table is joined by shuffle, not broadcast.
 BROADCAST_SOURCES = 10_000
 
 
+def _place():
+    """The seeded order of documents: a hash of seed, doc_id and text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(" ", F.lit(SEED), name, F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (white-space separated words) and place, the seeded order."""
     text = F.coalesce(F.col("text"), F.lit(""))
     squeezed = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
     size = F.when(squeezed == "", 0).otherwise(F.length(squeezed) - F.length(F.regexp_replace(squeezed, " ", "")) + 1)
-    return docs.select("doc_id", "source", size.cast("long").alias("size"), F.xxhash64(F.lit(20241), "doc_id", text).alias("place"))
+    return docs.select("doc_id", "source", size.cast("long").alias("size"), _place().alias("place"))
 
 
 def targets(sized: DataFrame, share: float = 1.5, passes: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -100,7 +108,7 @@ def mix(docs: DataFrame, share: float = 1.5, passes: int = 2, weights: tuple[int
     sized = sized.join(few(t.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
     # places in the streams, in two levels
-    sized = sized.withColumn("range", F.shiftrightunsigned("place", 64 - RANGES.bit_length() + 1))
+    sized = sized.withColumn("range", F.left("place", F.lit(RANGE_DIGITS)))
     sums = sized.groupBy("sid", "range").agg(F.sum("size").alias("n"))
     ahead = F.sum("n").over(W.partitionBy("sid").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("sid", "range", F.coalesce(ahead, F.lit(0)).alias("ahead"))
@@ -130,8 +138,7 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     m = mix(docs.select("doc_id", "text", "source"), **kw).where("taken > 0")
     copies = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
     m = m.groupBy(F.col("doc_id").alias("_id"), F.col("place").alias("_place")).agg(F.max(copies).alias("_copies"))
-    key = F.xxhash64(F.lit(20241), "doc_id", F.coalesce(F.col("text"), F.lit("")))
-    out = docs.withColumn("_key", key).join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_place")))
+    out = docs.withColumn("_key", _place()).join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_place")))
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(*docs.columns)
 
@@ -139,3 +146,28 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_WEIGHTS = ", ".join(f"CAST({w} AS DOUBLE)" for w in WEIGHTS)
+ORACLE_SQL = rf"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5(concat_ws(' ', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))) AS place FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS sid FROM s GROUP BY source),
+w AS (SELECT *, [{_WEIGHTS}][sid % {len(WEIGHTS)} + 1] AS w, 2 * CAST(source_size AS DOUBLE) AS cap FROM g),
+l AS (SELECT *, cap / w AS full_at, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS budget FROM w),
+v AS (SELECT *, (budget - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM l
+      WINDOW b AS (ORDER BY full_at, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT sid, source, source_size, CASE WHEN full_at <= level THEN cap ELSE w * first_value(CASE WHEN full_at > level THEN level END IGNORE NULLS) OVER (ORDER BY full_at, sid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS target FROM v),
+k AS (SELECT greatest(1, least(2048, total // (1000 * n))) AS block, (CAST(floor(CAST(1.5 AS DOUBLE) * total) AS BIGINT)) AS words FROM (SELECT CAST(sum(source_size) AS BIGINT) AS total, count(*) AS n FROM t)),
+h AS (SELECT *, sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () AS hi FROM t),
+o AS (SELECT sid, source_size, lag(hi, 1, 0.0) OVER (ORDER BY sid) AS lo, CASE WHEN hi >= max(hi) OVER () THEN 2.0 ELSE hi END AS hi FROM h),
+u AS (SELECT j, (j + 1) * CAST({GOLDEN!r} AS DOUBLE) - floor((j + 1) * CAST({GOLDEN!r} AS DOUBLE)) AS u FROM k, unnest(range(0, (words + block - 1) // block)) AS x(j)),
+r AS (SELECT sid, (source_size + block - 1) // block AS n_blocks, row_number() OVER (PARTITION BY sid ORDER BY j) - 1 AS rank FROM u JOIN o ON u >= lo AND u < hi AND hi > lo, k),
+b AS (SELECT sid, rank % n_blocks AS blk, count(*) AS times FROM r WHERE rank < 2 * n_blocks GROUP BY ALL),
+p AS (SELECT doc_id, size, source_size, target, sid, place, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT p.sid, p.start, sum((least(p.start + p.size, (x.blk + 1) * block) - greatest(p.start, x.blk * block)) * coalesce(b.times, 0)) AS got
+      FROM p, k, unnest(range(CAST(p.start AS BIGINT) // block, (CAST(p.start AS BIGINT) + p.size - 1) // block + 1)) AS x(blk) LEFT JOIN b ON b.sid = p.sid AND b.blk = x.blk WHERE p.size > 0 GROUP BY ALL)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(got, 0) AS BIGINT) AS taken
+FROM p LEFT JOIN c ON c.sid = p.sid AND c.start = p.start AND p.size > 0
+"""

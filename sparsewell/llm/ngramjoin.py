@@ -147,7 +147,7 @@ def frequency_table(docs: DataFrame, total: int) -> np.ndarray:
     found = docs.select("doc_id", "text").mapInArrow(count, COUNTS).groupBy("bucket").applyInArrow(levels, "bucket long, levels binary")
     half = 1 << (TABLE_BITS - low - 1)
     out = np.zeros(1 << (TABLE_BITS - 1), np.uint8)
-    for bucket, packed in found.toLocalIterator():
+    for bucket, packed in found.collect():  # 32 MB before packing, whatever the corpus
         out[bucket * half : (bucket + 1) * half] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(packed)), np.uint8)
     return out
 
@@ -353,3 +353,15 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s FROM d, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.b, reach.root FROM reach JOIN link ON reach.doc_id = link.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""

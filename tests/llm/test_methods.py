@@ -105,7 +105,7 @@ def brute_taken(docs):
             taken[r.source][rank[r.source] % n_blocks] += 1
         rank[r.source] += 1
     at, want = Counter(), {}
-    for r in sorted(m, key=lambda r: ((r.place >> 52) & 0xFFF, r.place, r.doc_id, r.size)):
+    for r in sorted(m, key=lambda r: (r.place, r.doc_id, r.size)):
         words = range(at[r.source], at[r.source] + r.size)
         want[r.doc_id] = sum(taken[r.source][w // block] for w in words)
         at[r.source] += r.size
