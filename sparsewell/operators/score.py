@@ -6,6 +6,8 @@ All strategies return the same rows.  They differ in layout:
   (query, document), then by query.
 * ``docparallel``: postings clustered by document, so a task owns its documents and
   sums their scores alone; only each task's k best per query are exchanged.
+* ``queryparallel``: products meet by query at once, one exchange; for many more queries
+  than tasks.
 * ``chunked`` and ``sharded``: the k best of every range of documents, then of those.
 * ``compacted``: the k-th best score after the first range bounds what other ranges
   send on (only valid for non-negative weights).
@@ -58,6 +60,13 @@ def docparallel(queries: DataFrame, clustered: DataFrame, k: int, term: str = "t
     return scatter(queries, clustered, k, term)
 
 
+def queryparallel(queries: DataFrame, postings: DataFrame, k: int, term: str = "term") -> DataFrame:
+    """One exchange, of all products: worth it if the queries far outnumber the tasks."""
+    dealt = products(queries, postings, term).select("query_id", "doc_id", "part").repartition("query_id")
+    s = dealt.groupBy("query_id", "doc_id").agg(F.round(F.sum("part").cast("double"), 6).alias("score"))
+    return top_k(s.where("score <> 0"), k)
+
+
 def with_chunk(df: DataFrame, chunk: int, doc: str = "doc_id") -> DataFrame:
     return df.withColumn("chunk", F.floor(F.col(doc) / chunk).cast("long"))
 

@@ -75,6 +75,21 @@ def compacted_topk(t):
     return score.compacted(t.queries(), t.postings(), K, CHUNK).select(*RUN)
 
 
+@registered(S.q(TEXT, TOP))
+def queryparallel_topk(t):
+    return score.queryparallel(t.queries(), t.postings(), K).select(*RUN)
+
+
+@registered(S.q((), "SELECT CAST(c AS BIGINT) AS chunk, CAST(1 AS DOUBLE) AS overlap FROM (VALUES (32), (64), (128), (512)) v(c)"))
+def chunk_size_sweep(t):
+    """The chunk size changes no ranking: overlap with the whole one, by size."""
+    p, q, out = score.by_document(t.vector_postings()), t.vector_queries(), None
+    for chunk in (32, 64, 128, 512):
+        o = metrics.overlap(score.scatter(q, p, K), score.chunked(q, p, K, chunk), K).select(F.lit(chunk).cast("long").alias("chunk"), "overlap")
+        out = o if out is None else out.unionByName(o)
+    return out
+
+
 @registered(S.q(TEXT, TOP))
 def merged_runs(t):
     """Rankings of even and odd documents, merged."""
@@ -607,6 +622,11 @@ def synthetic_zipf(t):
     return synthetic.documents(t.spark, N_SYNTH, 50, V_SYNTH)
 
 
+@registered()
+def synthetic_exponential(t):
+    return synthetic.documents(t.spark, N_SYNTH, 50, V_SYNTH, minimum=5, zipf=None, duplicates=False, exponential=1.0)
+
+
 @registered()
 def synthetic_queries(t):
     return synthetic.queries(t.spark, 50, V_SYNTH)

@@ -8,7 +8,7 @@ from ..operators import score
 from ..operators.index import SparseIndex
 from ..operators.query import prune_by_bound, prune_by_terms, prune_by_width, truncated
 
-STRATEGIES = ("auto", "scatter", "docparallel", "chunked", "sharded", "compacted")
+STRATEGIES = ("auto", "scatter", "docparallel", "queryparallel", "chunked", "sharded", "compacted")
 #: Ranges of this many documents bound a task's part of the score matrix.
 CHUNK = 131_072
 
@@ -47,6 +47,8 @@ def retrieve(
         raise ValueError("prune is terms, width or bound")
     if strategy in ("auto", "docparallel", "scatter"):
         run = score.scatter(q, index.postings, k, term)
+    elif strategy == "queryparallel":
+        run = score.queryparallel(q, index.postings, k, term)
     elif strategy == "chunked":
         run = score.chunked(q, index.postings, k, chunk, term)
     elif strategy == "sharded":

@@ -36,9 +36,18 @@ def zipf_rank(u: Column, vocab: int, a: float = 1.5) -> Column:
     return F.least(F.floor(r) - 1, F.lit(vocab - 1)).cast("long")
 
 
-def documents(spark: SparkSession, n_docs: int, mean_terms: int, vocab: int, seed: int = 42, minimum: int = 10, duplicates: bool = True, zipf: float | None = 1.5) -> DataFrame:
+def weight_of(u: Column, exponential: float | None) -> Column:
+    """Uniform in 0.1 to 3, or log(1 + x) of an exponential x of that mean."""
+    if exponential is None:
+        return (F.lit(0.1) + u * F.lit(2.9)).cast("float")
+    return F.log1p(-F.lit(exponential) * F.log(F.lit(1.0) - u)).cast("float")
+
+
+def documents(
+    spark: SparkSession, n_docs: int, mean_terms: int, vocab: int, seed: int = 42, minimum: int = 10, duplicates: bool = True, zipf: float | None = 1.5, exponential: float | None = None
+) -> DataFrame:
     """doc_id, term, weight.  Lengths spread around ``mean_terms``, ``minimum`` at least;
-    weights are uniform in 0.1 to 3.  Without ``duplicates``, equal terms of a document are
+    for weights see :func:`weight_of`.  Without ``duplicates``, equal terms of a document are
     one; with zipf None terms are uniform."""
     d = spark.range(n_docs).select(F.col("id").alias("doc_id"))
     spread = F.floor((draw(seed, F.col("doc_id")) + draw(seed + 1, F.col("doc_id"))) * mean_terms)
@@ -46,18 +55,18 @@ def documents(spark: SparkSession, n_docs: int, mean_terms: int, vocab: int, see
     x = d.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("j"))
     u = draw(seed + 2, F.col("doc_id"), F.col("j"))
     term = zipf_rank(u, vocab, zipf) if zipf else F.floor(u * vocab).cast("long")
-    weight = (F.lit(0.1) + draw(seed + 3, F.col("doc_id"), F.col("j")) * F.lit(2.9)).cast("float")
+    weight = weight_of(draw(seed + 3, F.col("doc_id"), F.col("j")), exponential)
     x = x.select("doc_id", term.alias("term"), weight.alias("weight"))
     return x if duplicates else x.groupBy("doc_id", "term").agg(F.max("weight").alias("weight"))
 
 
-def queries(spark: SparkSession, n: int, vocab: int, seed: int = 99, mean_terms: int = 30, low: int = 5, high: int = 64) -> DataFrame:
-    """query_id, term, weight with 5 to 64 distinct Zipf terms."""
+def queries(spark: SparkSession, n: int, vocab: int, seed: int = 99, mean_terms: int = 30, low: int = 5, high: int = 64, exponential: float | None = None) -> DataFrame:
+    """query_id, term, weight with ``low`` to ``high`` draws of Zipf terms, each term once."""
     q = spark.range(n).select(F.col("id").alias("query_id"))
     size = F.least(F.lit(high), F.greatest(F.lit(low), F.floor(draw(seed, F.col("query_id")) * 2 * mean_terms).cast("int")))
     x = q.select("query_id", F.explode(F.sequence(F.lit(1), size)).alias("j"))
     term = zipf_rank(draw(seed + 2, F.col("query_id"), F.col("j")), vocab)
-    weight = (F.lit(0.1) + draw(seed + 3, F.col("query_id"), F.col("j")) * F.lit(2.9)).cast("float")
+    weight = weight_of(draw(seed + 3, F.col("query_id"), F.col("j")), exponential)
     return x.select("query_id", term.alias("term"), weight.alias("weight")).groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
 
 

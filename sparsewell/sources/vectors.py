@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tarfile
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +19,27 @@ def read_json_vectors(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumnRenamed("value", "line")
 
 
+def read_tar_vectors(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same from (compressed) tar files of such lines.  A task streams a file; the ordinal
+    numbers its lines, above the number of the file."""
+    files = spark.createDataFrame(list(enumerate(paths)), "number long, path string").repartition(max(1, len(paths)), "number")
+
+    def lines(batches):
+        for batch in batches:
+            for number, path in zip(*(batch.column(c).to_pylist() for c in ("number", "path")), strict=True):
+                store, name = fs.FileSystem.from_uri(path)
+                n = number << 33
+                with store.open_input_stream(name, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+                    for member in tar:
+                        held = tar.extractfile(member)
+                        while held and (some := held.readlines(1 << 20)):
+                            text = [x.decode(errors="replace").rstrip("\r\n") for x in some]
+                            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(range(n, n + len(text)), pa.int64())], names=["line", "ordinal"])
+                            n += len(text)
+
+    return files.mapInArrow(lines, "line string, ordinal long")
+
+
 def parse_json_vectors(lines: DataFrame, query_side: bool = False) -> DataFrame:
     """id, ordinal, token, weight from (line, ordinal).  Broken lines, and empty or missing
     vectors, are skipped; the id is the first of id, _id, docid (queries: qid) or the

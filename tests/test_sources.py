@@ -1,6 +1,9 @@
 """Files in and out."""
 
 import gzip
+import io
+import json
+import tarfile
 
 from sparsewell.__main__ import main
 from sparsewell.operators.index import SparseIndex, build_index, load_index, save_index, term_stats
@@ -31,6 +34,19 @@ def test_json_vectors(spark, tmp_path):
     assert numbers == {"a": 0, "c": 1, "4": 2}
 
 
+def test_tar_vectors(spark, tmp_path):
+    for k in range(2):
+        with tarfile.open(tmp_path / f"v{k}.tar.gz", "w:gz") as tar:
+            for part in range(2):
+                data = "".join(json.dumps({"id": f"{k}-{part}-{i}", "vector": {"x": i + 1.0}}) + "\n" for i in range(3)).encode()
+                info = tarfile.TarInfo(f"part{part}.jsonl")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+    lines = vectors.read_tar_vectors(spark, [f"file://{tmp_path}/v{k}.tar.gz" for k in range(2)])
+    numbers = {r.id: r.doc_id for r in vectors.numbered_documents(vectors.parse_json_vectors(lines)).collect()}
+    assert numbers == {f"{k}-{p}-{i}": k * 6 + p * 3 + i for k in range(2) for p in range(2) for i in range(3)}
+
+
 def test_run_file(spark, tmp_path):
     run = spark.createDataFrame([(2, 7, 1.5, 1), (2, 8, 0.0, 2), (1, 9, 0.25, 1)], "query_id long, doc_id long, score double, rank long")
     sinks.write_run(run, str(tmp_path / "run"))

@@ -41,6 +41,7 @@ def test_strategies_agree(spark, p, q, k, chunk):
     want = by_hand(p, q, k)
     assert rows(score.scatter(qf, pf, k)) == want
     assert rows(score.docparallel(qf, score.by_document(pf, 3), k)) == want
+    assert rows(score.queryparallel(qf, pf, k)) == want
     assert rows(score.chunked(qf, pf, k, chunk)) == want
     assert rows(score.compacted(qf, pf, k, chunk)) == want
     dense = to_dense(qf.withColumnRenamed("query_id", "doc_id"), 8).withColumnRenamed("doc_id", "query_id")
@@ -72,7 +73,7 @@ def test_retrieve_strategies(spark, data):
     p, q = data
     i = index.build_index(p, spark.range(300).withColumnRenamed("id", "doc_id"))
     want = rows(retrieve(q, i, 10))
-    for strategy in ("scatter", "chunked", "sharded", "compacted"):
+    for strategy in ("scatter", "queryparallel", "chunked", "sharded", "compacted"):
         assert rows(retrieve(q, i, 10, strategy, chunk=64)) == want
     assert rows(retrieve(q, i, 10, prune="terms", prune_ratio=0.0)) == want
     with pytest.raises(ValueError, match="strategy"):
