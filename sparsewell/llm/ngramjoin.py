@@ -56,6 +56,8 @@ K, PERCENT = 5, 80
 #: Level (log2 of document frequency) from which shingles are indexed in pairs.
 FREQUENT = 4
 TABLE_BITS, TOP_LEVEL = 26, 15
+#: Tasks that share the postings of one signature.
+SALTS = 16
 #: Shingles counted in one task before they are sent on, and in one bucket of counts.
 COUNT_RUN, BUCKET_SHINGLES = 4 << 20, 1 << 18
 _U = np.uint64
@@ -319,8 +321,10 @@ def _linked_components(docs: DataFrame) -> DataFrame:
 
     # lists that still span components
     named = post.where("members > 2").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    members = named.join(split, "sig", "left_semi").where("sid <> hub").select("hub", "sid", "n", "root").distinct()
+    named = named.withColumn("salt", F.pmod("sid", F.lit(SALTS)).cast("int"))  # deals the members of a frequent signature
+    split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    split = split.select("sig", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = named.join(split, ["sig", "salt"], "left_semi").where("sid <> hub").select("hub", "sid", "n", "root").distinct()
     diff = saved(differences(members, sets, table), "ngram-differences")
     x = diff.where("as_x").select("hub", "token", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp"))
     y = diff.where("as_y").select("hub", "token", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"))
