@@ -23,19 +23,21 @@ def activation(x: Column) -> Column:
     return F.log(F.lit(1.0).cast("double") + F.greatest(x.cast("double"), F.lit(0.0).cast("double"))).cast("float")
 
 
-def term_counts(docs: DataFrame, key: str, text: str = "text", max_tokens: int | None = None) -> DataFrame:
-    """key, term, tf, doc_len.  A document is one row, so its terms are counted within it:
-    the runs of its sorted tokens; nothing is shuffled."""
-    words = tokens(text)
-    if max_tokens is not None:
-        words = F.slice(words, 1, max_tokens)
-    d = docs.select(key, F.sort_array(words).alias("s"))
-    s, n = F.col("s"), F.size("s")
-    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    d = d.where(n > 0).select(key, s, n.cast("long").alias("doc_len"), begins.alias("b"))
-    pair = lambda i, k: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("b", k + 1), F.size("s")) - i).cast("long").alias("tf"))
-    d = d.select(key, "doc_len", F.explode(F.transform("b", pair)).alias("x"))
-    return d.select(key, F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), "doc_len")
+def term_counts(docs: DataFrame, key: str, text: str = "text", max_tokens: int | None = None, lengths: bool = False) -> DataFrame:
+    """key, term, tf (and doc_len, the document's tokens).  The documents are clustered by key
+    first; their terms are then counted, and later scores summed, without another exchange.
+    A text is smaller than its postings, so that is the cheapest place for the one shuffle; a
+    table bucketed by the key needs none."""
+    split = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+")
+    d = docs.select(key, text).repartition(key)
+    if max_tokens is not None or lengths:
+        words = tokens(text) if max_tokens is None else F.slice(tokens(text), 1, max_tokens)
+        d = d.select(key, words.alias("w"))
+        d = d.select(key, F.size("w").cast("long").alias("doc_len"), F.explode("w").alias("term"))
+    else:
+        d = d.select(key, F.explode(split).alias("term")).where("term <> ''")
+    by = [key, "doc_len"] if lengths else [key]
+    return d.groupBy(*by, "term").agg(F.count("*").alias("tf"))
 
 
 def text_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", as_key: str = "doc_id", max_tokens: int | None = None) -> DataFrame:
@@ -62,8 +64,8 @@ def max_pool(logits: DataFrame, key: str, term: str, logit: str, mask: str | Non
 def bm25_postings(docs: DataFrame, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """doc_id, term and the BM25 weight of the term in the document (a DOUBLE).  Statistics
     are over all documents, also those without a token."""
-    c = term_counts(docs, "doc_id")
-    lens = c.select("doc_id", "doc_len").distinct().agg(F.sum("doc_len").alias("total"))
+    c = term_counts(docs, "doc_id", lengths=True)
+    lens = c.agg(F.sum("tf").alias("total"))
     n = docs.agg(F.count("*").alias("n_docs"))
     df = c.groupBy("term").agg(F.count("*").alias("df"))
     x = c.join(df, "term").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(lens))  # one row each

@@ -51,7 +51,8 @@ def scatter(queries: DataFrame, postings: DataFrame, k: int, term: str = "term")
 
 
 def by_document(postings: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Postings clustered by document: done once, when an index is written or cached."""
+    """Postings clustered by document: done once, when an index is written or cached.
+    Postings made from texts are so already."""
     return postings.repartition(partitions, "doc_id") if partitions else postings.repartition("doc_id")
 
 

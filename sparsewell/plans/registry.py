@@ -37,7 +37,7 @@ def registered(sql: str | None = None):
 
 def _run(t: Tables, k: int = K) -> DataFrame:
     """The ranking of documents for benchmark passages, clustered by document."""
-    return score.docparallel(t.queries(), score.by_document(t.postings()), k).select(*RUN)
+    return score.docparallel(t.queries(), t.postings(), k).select(*RUN)
 
 
 def _vector_run(t: Tables, k: int = K) -> DataFrame:
@@ -52,7 +52,8 @@ VTOP = f"SELECT {RUN_COLUMNS} FROM vrun"
 
 @registered(S.q(TEXT, TOP))
 def scatter_topk(t):
-    return score.scatter(t.queries(), t.postings(), K).select(*RUN)
+    """Postings in any layout, here by term: pairs meet in a second exchange."""
+    return score.scatter(t.queries(), t.postings().repartition("term"), K).select(*RUN)
 
 
 @registered(S.q(TEXT, TOP))
@@ -150,7 +151,7 @@ def densified_topk(t):
 @registered(S.q(("lp",), f"SELECT {RUN_COLUMNS} FROM ({S.top('z')})", lq="SELECT doc_id AS query_id, term, weight FROM lp", z0=S.scored("lq", "lp"), z="SELECT * FROM z0 WHERE query_id <> doc_id"))
 def lineitem_scatter_topk(t):
     """Orders most alike by quantities of parts; an order may list a part twice, which adds."""
-    s = score.scores(t.purchases("query_id"), t.purchases()).where("score <> 0 and query_id <> doc_id")
+    s = score.scores(t.purchases("query_id"), score.by_document(t.purchases())).where("score <> 0 and query_id <> doc_id")
     return top_k(s, K).select(*RUN)
 
 
@@ -298,7 +299,7 @@ SWEEP = " UNION ALL ".join(
 )
 def query_width_sweep(t):
     """Recall against the exact ranking by width of the query."""
-    p, q = score.by_document(t.postings()), t.queries()
+    p, q = t.postings(), t.queries()
     exact, out = score.scatter(q, p, K), None
     for w in (8, 16, 32, 64):
         r = metrics.recall_vs_exact(exact, score.scatter(query.truncated(q, w), p, K), K).select(F.lit(w).cast("long").alias("width"), "recall")
@@ -471,7 +472,7 @@ APPROX["m"] = "SELECT a.query_id, count(*) AS n, count(b.doc_id) AS m FROM run a
 
 
 def _exact_and_pruned(t):
-    p, q = score.by_document(t.postings()), t.queries()
+    p, q = t.postings(), t.queries()
     return score.scatter(q, p, K), score.scatter(query.prune_by_terms(q, index.term_stats(p)), p, K)
 
 
