@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encode import array_postings, text_postings
+from ..functions.text import tokens
 
 
 class Tables:
@@ -23,12 +24,20 @@ class Tables:
         return text_postings(self.benchmark, "item_id", as_key="query_id")
 
     def qrels(self) -> DataFrame:
-        """Graded: a document that contains the passage has 1 plus its quality label."""
-        d = self.documents.join(self.labels, "doc_id", "left").select("doc_id", F.col("text").alias("body"), F.coalesce("quality", F.lit(0)).alias("quality"))
+        """Graded: a document that contains the passage has 1 plus its quality label.  All but
+        the first and last token of a passage are whole tokens of such a document, so the
+        longest of them finds the candidates; passages without one are looked for everywhere."""
+        d = self.documents.select("doc_id", F.col("text").alias("body"))
         b = self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-        # a passage is looked for in each document once: the benchmark is the stated query set
-        hit = d.join(b, F.contains("body", "passage"))
-        return hit.select("query_id", "doc_id", (F.col("quality") + 1).cast("long").alias("relevance"))
+        words = tokens("passage")
+        inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
+        b = b.withColumn("key", F.array_max(inner)["t"])
+        terms = d.select("doc_id", F.explode(F.array_distinct(tokens("body"))).alias("key"))
+        near = terms.join(b.where("key is not null").select("key", "query_id"), "key").select("doc_id", "query_id")
+        hit = d.join(near, "doc_id").join(b.drop("key"), "query_id").where(F.contains("body", "passage")).select("query_id", "doc_id")
+        rest = d.join(b.where("key is null"), F.contains("body", "passage")).select("query_id", "doc_id")
+        hit = hit.unionByName(rest).join(self.labels.select("doc_id", "quality"), "doc_id", "left")
+        return hit.select("query_id", "doc_id", (F.coalesce("quality", F.lit(0)) + 1).cast("long").alias("relevance"))
 
     # vectors: every vector is a query too
     def vector_postings(self) -> DataFrame:
