@@ -224,7 +224,7 @@ SETS = "sid long, hashes binary"
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid and the set, 6 bytes a shingle, of the documents ``wanted`` (doc_id)."""
+    """sid and the set, 6 bytes a shingle, of the documents ``wanted`` (_id, _key)."""
 
     def rows(batches):
         for _, s, bounds in _sets(batches):
@@ -232,7 +232,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 yield _batch(SETS, [set_id(s[a:b])], [six[a:b].tobytes()])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(rows, SETS)
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    return docs.select("doc_id", "text").join(wanted, own, "left_semi").mapInArrow(rows, SETS)
 
 
 def _wide(raw: bytes) -> np.ndarray:
@@ -306,7 +307,9 @@ def linked_components(docs: DataFrame) -> DataFrame:
 def _linked_components(docs: DataFrame) -> DataFrame:
     own = saved(document_sets(docs), "ngram-sets")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    reps = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    reps = own.where("n > 0").groupBy("sid").agg(least.alias("r"), F.count("*").alias("copies"))
+    reps = reps.select("sid", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), "copies")
     table = frequency_table(docs, total)
     post = saved(postings(docs, table).distinct(), "ngram-postings")
     hubs = post.groupBy("sig").agg(F.min(F.struct("alone", "sid", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -314,7 +317,7 @@ def _linked_components(docs: DataFrame) -> DataFrame:
 
     stars = post.where((F.col("sid") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n")))
     stars = saved(stars.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct(), "ngram-stars")
-    wanted = post.select("sid").distinct().join(reps, "sid").select(F.col("rep").alias("doc_id")).distinct()
+    wanted = post.select("sid").distinct().join(reps, "sid").select(F.col("rep").alias("_id"), F.col("rep_key").alias("_key")).distinct()
     sets = saved(sets_of(docs, wanted), "ngram-compared")
     links = saved(verified(stars, sets), "ngram-links")
     roots = components(links)

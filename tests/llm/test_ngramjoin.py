@@ -77,6 +77,15 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, frequent):
     assert sorted(map(tuple, got)) == brute_force(rows)
 
 
+def test_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(base), " ".join([*base, "x"]), " ".join(["y", *base])
+    rows = [(None, a), (9, b), (9, c), (9, "another text of the same number"), (None, "no other text is like this")]
+    got = ngramjoin.linked_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in got.collect() if r.n_shingles > 9) == [(0, 56, 9), (9, 57, 9), (9, 57, 9)]
+    assert {r.component_id for r in got.collect() if r.n_shingles == 2} == {None, 9}
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(5)
     for _ in range(400):
