@@ -267,8 +267,8 @@ DIFFERENCES = "hub long, token long, sid long, n int, root long, as_x boolean, a
 def differences(members: DataFrame, sets: DataFrame, table: np.ndarray) -> DataFrame:
     """For members (hub, sid, n, root) of lists, the prefixes of their differences from the
     hub, rarest first: the part that counts for a set not linked to the hub (as_x), and for
-    any partner of such a set (as_y).  Shingles of one document only take their places but
-    give no row."""
+    any partner of such a set (as_y).  Shingles of this document only take their places but
+    give no row; those of the hub only come last, as all its members lack them."""
     shared = members.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches):
@@ -278,6 +278,7 @@ def differences(members: DataFrame, sets: DataFrame, table: np.ndarray) -> DataF
                 h, own = _wide(x), _wide(y)
                 d = np.setxor1d(h, own, assume_unique=True)
                 level = look_up(levels, d << _U(16))
+                level[(level == 0) & np.isin(d, h, assume_unique=True)] = TOP_LEVEL + 1
                 order = np.lexsort((d, level))
                 d, level, size = d[order], level[order], len(d)
                 apart = 9 * size > n + len(h)

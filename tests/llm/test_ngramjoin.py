@@ -58,7 +58,7 @@ def corpus(seed):
     passage, rows = text(60), []
     for n in (8, 12, 40, 90, 150, 300):
         base = text(n)
-        rows += [base] * 3 + [edited(rng, base, rng.choice((0.01, 0.02, 0.03, 0.04, 0.05))) for _ in range(30)]
+        rows += [base] * rng.choice((0, 3)) + [edited(rng, base, rng.choice((0.01, 0.02, 0.03, 0.04, 0.05))) for _ in range(30)]
         rows += [base + text(k) for k in (1, n // 5, n // 4, n // 3)]
     rows += [passage + text(rng.randrange(0, 30)) for _ in range(30)]
     rows += [text(rng.randrange(0, 7)) for _ in range(20)] + [[]]
@@ -67,7 +67,7 @@ def corpus(seed):
     return [(i, " ".join(r)) for i, r in zip(ids, rows, strict=True)]
 
 
-@pytest.mark.parametrize(("seed", "frequent"), [(1, 4), (2, 1), (3, 2)])
+@pytest.mark.parametrize(("seed", "frequent"), [(1, 4), (2, 1), (3, 2), (4, 4), (5, 3)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, frequent):
     """frequent: levels from 1 put all shared shingles into the class indexed by pairs."""
     monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
@@ -86,6 +86,16 @@ def test_null_and_repeated_ids(spark):
     assert {r.component_id for r in got.collect() if r.n_shingles == 2} == {None, 9}
 
 
+def test_a_hub_with_shingles_of_its_own(spark):
+    """No original is there, and what members share is mostly that they lack the hub's."""
+    base = [f"b{i}" for i in range(100)]
+    mix = lambda *cut, own=(): [w for i, w in enumerate(base) if i not in cut] + list(own)
+    rows = [mix(own=[f"h{i}" for i in range(k)]) for k in (9, 12, 15)] + [mix(*range(k, k + 9), own=[f"o{k}{i}" for i in range(4)]) for k in range(0, 90, 3)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    got = ngramjoin.linked_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == brute_force(rows)
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(5)
     for _ in range(400):
