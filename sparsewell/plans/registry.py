@@ -467,8 +467,13 @@ def qrels_profile(t):
     return metrics.grading_profile(t.qrels())
 
 
-APPROX = dict(ub=UB, wq=KEPT.format("greatest(1, floor(n * 0.5))"), wz=S.scored("wq", "p"), wr=S.top("wz"), m="SELECT query_id, count(*) AS n, count(b.doc_id) AS m FROM run a LEFT JOIN (SELECT query_id, doc_id FROM wr) b USING (query_id, doc_id) GROUP BY query_id")
-APPROX["m"] = "SELECT a.query_id, count(*) AS n, count(b.doc_id) AS m FROM run a LEFT JOIN wr b ON a.query_id = b.query_id AND a.doc_id = b.doc_id GROUP BY a.query_id"
+APPROX = {
+    "ub": UB,
+    "wq": KEPT.format("greatest(1, floor(n * 0.5))"),
+    "wz": S.scored("wq", "p"),
+    "wr": S.top("wz"),
+    "m": "SELECT a.query_id, count(*) AS n, count(b.doc_id) AS m FROM run a LEFT JOIN wr b ON a.query_id = b.query_id AND a.doc_id = b.doc_id GROUP BY a.query_id",
+}
 
 
 def _exact_and_pruned(t):
