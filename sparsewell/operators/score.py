@@ -52,8 +52,9 @@ def scatter(queries: DataFrame, postings: DataFrame, k: int, term: str = "term")
 
 def by_document(postings: DataFrame, partitions: int | None = None) -> DataFrame:
     """Postings clustered by document: done once, when an index is written or cached.
-    Postings made from texts are so already."""
-    return postings.repartition(partitions, "doc_id") if partitions else postings.repartition("doc_id")
+    Postings made from texts are so already.  The number of partitions is stated, because
+    postings are few bytes for the work they make, and would be merged into few tasks."""
+    return postings.repartition(partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def docparallel(queries: DataFrame, clustered: DataFrame, k: int, term: str = "term") -> DataFrame:
