@@ -59,7 +59,7 @@ TABLE_BITS, TOP_LEVEL = 26, 15
 #: Tasks that share the postings of one signature.
 SALTS = 16
 #: Shingles counted in one task before they are sent on, and in one bucket of counts.
-COUNT_RUN, BUCKET_SHINGLES = 4 << 20, 1 << 18
+COUNT_RUN, BUCKET_SHINGLES = 2 << 20, 1 << 18
 _U = np.uint64
 
 
@@ -334,12 +334,11 @@ def _linked_components(docs: DataFrame) -> DataFrame:
     y = diff.where("as_y").select("hub", "token", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"))
     met = x.join(y, ["hub", "token"]).where((F.col("rp") != F.col("rq")) & _sizes_fit(F.col("np"), F.col("nq")))
     met = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    more = saved(verified(saved(met.join(stars, ["a", "b"], "left_anti"), "ngram-pairs"), sets), "ngram-links")
+    more = saved(verified(met.join(stars, ["a", "b"], "left_anti"), sets), "ngram-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
     named = reps.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = saved(named, "ngram-classes")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
     of = named.join(least, "root").select(F.col("sid").alias("_sid"), "component_id", "root")
     out = own.join(of, (F.col("sid") == F.col("_sid")) & (F.col("n") > 0), "left")

@@ -31,12 +31,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a small table that go to one file.
+FILE_ROWS = 1 << 18
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: cuts the
-    lineage and survives lost executors."""
+    lineage and survives lost executors.  rows: a bound of its rows, if known, so that a
+    small table makes few files."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
