@@ -10,6 +10,12 @@ ways, window by window, by comparing whole windows.  A window that stood before
 order of doc_id, text hash, line) is deleted with the blank lines inside it; adjoining
 ones make up the repeated run.
 
+Windows that reach forward leave the last lines of a repeated run that make fewer than
+``min_words`` words.  With ``whole_runs`` every line has also the window of the fewest
+lines before it: each line of a run of ``min_words`` words that stood before is then in
+a repeated window of one kind, so exactly the maximal runs are deleted, whichever of the
+places before they stood at.  The registered query, as its SQL, has forward windows only.
+
 All of it is DataFrame operations.  No group is gathered: each repeated window is
 compared with its first place only.
 
@@ -36,9 +42,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tkey"))
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def windows(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """doc_id, tkey, first and last line of each window, its fingerprint's hash and line,
-    and the hash of all its lines."""
+    and the hash of all its lines.  whole_runs: those that reach backward, too."""
     lines = _texts(docs).select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     squeezed = F.trim(F.regexp_replace("s", SPACE, " "))
     n = F.when(squeezed == "", 0).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
@@ -47,21 +53,29 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of = W.partitionBy("doc_id", "tkey")
     before = F.sum("n").over(of.orderBy("line").rowsBetween(W.unboundedPreceding, -1))
     lines = lines.withColumn("c", F.coalesce(before, F.lit(0)))
-    frame = of.orderBy("c").rangeBetween(0, min_words - 1)
-    lines = lines.select(
-        "doc_id", "tkey", "line",
-        F.max("line").over(frame).alias("last"),
-        F.sum("n").over(frame).alias("words"),
-        F.min(F.struct("h", "line")).over(frame).alias("least"),
-        F.collect_list("h").over(frame).alias("hs"),
-    )
-    lines = lines.where(F.col("words") >= min_words)
-    return lines.select("doc_id", "tkey", "line", "last", F.col("least.h").alias("fp"), F.col("least.line").alias("at"), F.xxhash64("hs").alias("wh"))
-
-
-def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+
+    def framed(lines, frame, line, last):
+        lines = lines.select(
+            "doc_id", "tkey", line.alias("line"), last.alias("last"),
+            F.sum("n").over(frame).alias("words"),
+            F.min(F.struct("h", "line")).over(frame).alias("least"),
+            F.collect_list("h").over(frame).alias("hs"),
+        )
+        lines = lines.where(F.col("words") >= min_words)
+        return lines.select("doc_id", "tkey", "line", "last", F.col("least.h").alias("fp"), F.col("least.line").alias("at"), F.xxhash64("hs").alias("wh"))
+
+    ahead = of.orderBy("c").rangeBetween(0, min_words - 1)
+    forward = framed(lines, ahead, F.col("line"), F.max("line").over(ahead))
+    if not whole_runs:
+        return forward
+    behind = of.orderBy("end").rangeBetween(1 - min_words, 0)
+    backward = framed(lines.withColumn("end", F.col("c") + F.col("n")), behind, F.min("line").over(behind), F.col("line"))
+    return forward.union(backward).distinct()
+
+
+def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """doc_id, tkey, line, last: the windows that stood before."""
-    w = saved(windows(docs, min_words), "line-windows")
+    w = saved(windows(docs, min_words, whole_runs), "line-windows")
     prints = w.groupBy("fp").agg(F.min(F.struct("doc_id", "tkey", "at")).alias("a"), F.max(F.struct("doc_id", "tkey", "at")).alias("b"))
     shared = prints.where(F.col("a") != F.col("b")).select("fp")
     near = w.join(shared, "fp", "left_semi")
@@ -72,10 +86,10 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return met.where(place != F.col("first")).select("doc_id", "tkey", "line", "last")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """doc_id, text without the repeated runs, n_lines, removed (numbers of the lines
-    deleted)."""
-    gone = repeated_windows(docs, min_words).select("doc_id", "tkey", F.explode(F.sequence("line", "last")).alias("line"))
+    deleted).  whole_runs: with the lines at their ends."""
+    gone = repeated_windows(docs, min_words, whole_runs).select("doc_id", "tkey", F.explode(F.sequence("line", "last")).alias("line"))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
     t = _texts(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_key")), "left")
     t = t.withColumn("lines", F.split("text", "\n"))
