@@ -8,6 +8,12 @@ of a source takes block ``r mod n_blocks`` of its stream.  Because golden-ratio
 points are spread evenly in every prefix, each stretch of the schedule has the
 target proportions.
 
+Blocks are too coarse for a source that is small beside the others: its slots are few, or
+none, and its last block is cut short.  A source that the schedule leaves more than
+``NEAR`` of its target away from it is settled instead: all its words are taken as often
+as fits into the target, and the first words of its stream once more, up to the target
+exactly.  (The SQL states the schedule alone; where no source is so small the two agree.)
+
 Nothing is gathered per source in one task: positions in a stream and ranks of
 slots are sums in two levels, within hash (or slot) ranges and over the ranges.
 
@@ -32,6 +38,8 @@ GOLDEN = 0.6180339887498949
 #: cells of the unit interval.
 RANGE_DIGITS, SLOT_RANGE, CELLS = 3, 65536, 1024
 SEED = "20241"
+#: The share of its target by which the words of a source may miss it.
+NEAR = 0.02
 #: Above this many sources their table is joined by shuffle, not broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -120,16 +128,26 @@ def mix(docs: DataFrame, share: float = 1.5, passes: int = 2, weights: tuple[int
     n_blocks = F.ceil(F.col("source_size") / block)
     ranked = schedule(spark, t, block, n_slots).join(few(t.select("sid", "source_size")), "sid")
     ranked = ranked.where(F.col("rank") < passes * n_blocks)
-    taken = ranked.groupBy("sid", (F.col("rank") % n_blocks).alias("block")).agg(F.count("*").alias("times"))
+    taken = ranked.groupBy("sid", "source_size", (F.col("rank") % n_blocks).alias("block")).agg(F.count("*").alias("times"))
+    taken = saved(taken, "mix-blocks")
+
+    # sources that the schedule leaves far from their targets
+    words = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
+    came = taken.groupBy(F.col("sid").alias("s")).agg(F.sum(words * F.col("times")).alias("came"))
+    far = t.join(came, F.col("sid") == F.col("s"), "left").where(F.abs(F.coalesce("came", F.lit(0)) - F.col("target")) > NEAR * F.col("target"))
+    far = far.select(F.col("sid").alias("far"), F.round("target").cast("long").alias("due"))
 
     start, stop = F.col("start"), F.col("start") + F.col("size")
     pieces = placed.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.floor(start / block), F.floor((stop - 1) / block))).alias("block"))
     overlap = F.least(stop, (F.col("block") + 1) * block) - F.greatest(start, F.col("block") * block)
-    got = pieces.join(taken, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(overlap * F.col("times")).alias("got"))
+    got = pieces.join(taken.drop("source_size"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(overlap * F.col("times")).alias("got"))
     got = got.select(F.col("sid").alias("s"), F.col("start").alias("at"), "got")
     on = (F.col("sid") == F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
-    out = placed.join(got, on, "left")
-    return out.select("doc_id", "source", "place", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    out = placed.join(got, on, "left").join(few(far), F.col("sid") == F.col("far"), "left")
+    times = F.floor(F.col("due") / F.greatest(F.col("source_size"), F.lit(1)))
+    more = F.greatest(F.lit(0), F.least(stop, F.col("due") - times * F.col("source_size")) - start)
+    words = F.when(F.col("far").isNotNull(), times * F.col("size") + more).otherwise(F.coalesce("got", F.lit(0)))
+    return out.select("doc_id", "source", "place", "size", "source_size", "target", words.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
