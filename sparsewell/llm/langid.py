@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import packed, unpacked
 from .wordhash import BLANK_SEPARATED, Words, pieces
 
 FOLDS, SAMPLE_ROWS = 5, 4000
@@ -271,18 +272,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified_documents(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents of a known language, all columns: those that are ``und``, or whose
-    score is below ``min_score``, go."""
+    """The documents of a known language, all columns, ``lang`` being the language found:
+    those that are ``und``, or whose score is below ``min_score``, go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    whole = packed(docs)
 
     def rows(batches):
         for batch in batches:
-            for part, data, at in pieces(batch):
+            for part, data, at in pieces(pa.RecordBatch.from_struct_array(batch.column(0))):
                 p = _predict(shared.value, part, data, at)
                 good = pc.and_(pc.not_equal(p.column("lang_pred"), "und"), pc.greater_equal(p.column("score"), min_score))
-                yield part.filter(good)
+                fields = [p.column("lang_pred").cast(f.type) if f.name == "lang" else part.column(i) for i, f in enumerate(part.schema)]
+                kept = pa.StructArray.from_arrays(fields, fields=list(part.schema)).filter(good)
+                yield pa.RecordBatch.from_arrays([kept], names=["row"])
 
-    return docs.mapInArrow(rows, docs.schema)
+    return unpacked(whole.mapInArrow(rows, whole.schema))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import packed, unpacked
 from .store import saved
 
 WEIGHTS = (5, 2, 1)
@@ -44,10 +45,10 @@ NEAR = 0.02
 BROADCAST_SOURCES = 10_000
 
 
-def _place():
+def _place(of: str = ""):
     """The seeded order of documents: a hash of seed, doc_id and text."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return F.md5(F.concat_ws(" ", F.lit(SEED), name, F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
+    name = F.coalesce(F.col(f"{of}doc_id").cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(" ", F.lit(SEED), name, F.coalesce(F.col(f"{of}text"), F.lit(""))).cast("binary"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -155,10 +156,10 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     taken about twice comes twice."""
     m = mix(docs.select("doc_id", "text", "source"), **kw).where("taken > 0")
     copies = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
-    m = m.groupBy(F.col("doc_id").alias("_id"), F.col("place").alias("_place")).agg(F.max(copies).alias("_copies"))
-    out = docs.withColumn("_key", _place()).join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_place")))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    m = m.groupBy(F.col("doc_id").alias("of"), F.col("place").alias("of_place")).agg(F.max(copies).alias("copies"))
+    own = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), _place("row.").alias("place"))
+    own = own.join(m, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("place") == F.col("of_place")))
+    return unpacked(own.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -49,6 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .rows import packed, unpacked
 from .store import saved, small_batches
 from .wordhash import BLANK_SEPARATED, Words, mixed, pieces, shingles
 
@@ -351,11 +352,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     of equal ones the least text hash).  Empty documents stay; of equal rows one stays."""
     c = linked_components(docs)
     best = c.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
-    stay = best.select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"))
-    stay = stay.unionByName(c.where(F.col("component").isNull()).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    out = own.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    stay = best.select(F.col("best.doc_id").alias("of"), F.col("best.key").alias("of_key"))
+    stay = stay.unionByName(c.where(F.col("component").isNull()).select(F.col("doc_id").alias("of"), F.col("key").alias("of_key")))
+    own = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("key"))
+    out = own.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left_semi")
+    return unpacked(out.dropDuplicates(["doc_id", "key"]))
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

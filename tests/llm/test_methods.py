@@ -109,6 +109,13 @@ def brute_taken(docs):
         words = range(at[r.source], at[r.source] + r.size)
         want[r.doc_id] = sum(taken[r.source][w // block] for w in words)
         at[r.source] += r.size
+    for s, r in t.items():  # sources far from their targets are settled word by word
+        own = [x for x in sorted(m, key=lambda x: (x.place, x.doc_id, x.size)) if x.source == s]
+        if abs(sum(want[x.doc_id] for x in own) - r.target) > mixing.NEAR * r.target:
+            times, first = divmod(math.floor(r.target + 0.5), max(r.source_size, 1))
+            for x in own:
+                want[x.doc_id] = times * x.size + max(0, min(x.size, first))
+                first -= x.size
     return want, m, t, block
 
 
