@@ -5,15 +5,22 @@ positions of each term.  Only terms of the benchmark get postings, as others can
 match; if the benchmark has more than ``MAX_TERMS`` of them, all terms do.  A window is
 searched for by intersecting the offset-adjusted position lists of its terms, from the
 rarest in the shard on; as all its words take part, what is left are exact phrases.
-A proximity match of an item needs only its three rarest terms near their places.
+
+An item matches by proximity where, for some place of its first word, at least
+``NEAR_PERCENT`` of its words stand within ``SLOP`` words of their places, all in one
+document (a word that the item repeats is looked for at each of its places).  If m words
+may be missing, one of any m + 1 is not, so the m + 1 words that are rarest in the shard
+propose the places, and the others are looked up, rarest first, until too many are
+missing.  Which words are rarest changes the cost, never the matches.
 
 The benchmark is the stated query set: it is dealt into blocks of bounded size, and
 every block is searched for in all shards.
 
 Defined cases: a null or blank text has no words and is not contaminated; an item with
-no words, or without an id, matches nothing; items of equal id count once; equal
+no words, or without an id, matches nothing, and one of fewer than three different words
+nothing by proximity; items of equal id count once; a null doc_id is kept; equal
 documents each give a row; empty tables give empty results (no benchmark: nothing is
-contaminated); further columns are ignored.  Words are compared by 64-bit hashes.
+contaminated); further columns are ignored, and kept by :func:`clean_documents`.  Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,10 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import packed, unpacked
 from .store import saved
 from .wordhash import ALPHANUMERIC, Words, pieces, text_bytes
 
-WINDOW, SLOP = 13, 8
+WINDOW, SLOP, NEAR_PERCENT = 13, 8, 80
 #: Bytes of document text in a shard.
 SHARD_BYTES = 4 << 20
 #: Bytes of benchmark text in a block, and terms of the whole benchmark sent to all tasks.
@@ -37,6 +45,10 @@ BLOCK_BYTES, MAX_TERMS = 4 << 20, 4 << 20
 INDEX = "shard string, docs binary, keys binary, nulls binary, bounds binary, terms binary, counts binary, places binary"
 
 
+#: More than the words of a text and of an item: (text, place) as one number.
+_SPAN = 1 << 36
+
+
 def _bytes(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
@@ -131,26 +143,49 @@ class Block:
             np.add.at(edge, start + len(terms), -1)
             for d in np.unique(s.doc[start]):
                 exact[d].add(k)
-        for k, own in enumerate(self.items):
-            kinds, at = np.unique(own, return_index=True)
-            if len(kinds) < 3:
-                continue
-            rare = np.argsort(count[kinds], kind="stable")[:3]
-            if not count[kinds[rare[0]]]:
-                continue
-            start = lists(kinds[rare[0]]) - at[rare[0]]
-            here = s.doc[start + at[rare[0]]]
-            for r in rare[1:]:
-                places = lists(kinds[r])
-                i = np.minimum(np.searchsorted(places, start + at[r] - slop), len(places) - 1)
-                ok = (np.abs(places[i] - start - at[r]) <= slop) & (s.doc[places[i]] == here)
-                start, here = start[ok], here[ok]
-            for d in np.unique(here):
+        for k in range(len(self.items)):
+            for d in self.near(s, k, count, lists, slop):
                 near[d].add(k)
         hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         cuts = np.searchsorted(hit, s.bounds)
         return [hit[a:b] - lo for a, b, lo in zip(cuts[:-1], cuts[1:], s.bounds[:-1], strict=True)], exact, near
 
+    def near(self, s: Shard, k: int, count: np.ndarray, lists, slop: int) -> np.ndarray:
+        """Documents of the shard in which item ``k`` matches by proximity."""
+        own = self.items[k]
+        may_miss = len(own) - -(-NEAR_PERCENT * len(own) // 100)
+        order = np.argsort(count[own], kind="stable")
+        if len(np.unique(own)) < 3 or not count[own[order[may_miss]]]:
+            return np.zeros(0, np.int64)
+        places = [(lists(own[j]), j) for j in order[: may_miss + 1]]
+        at = np.concatenate([x for x, _ in places])
+        start = np.concatenate([x - j for x, j in places])
+        doc, start = np.divmod(np.unique(s.doc[at] * _SPAN + start - s.bounds[s.doc[at]] + _SPAN // 2), _SPAN)
+        start += s.bounds[doc] - _SPAN // 2
+        # first around a place that one word proposes, which may be off by the slop itself
+        doc, start = self._present(s, own, order, lists, doc, start, 2 * slop, may_miss)
+        shift = np.arange(-slop, slop + 1)
+        doc, start = np.repeat(doc, len(shift)), (start[:, None] + shift).reshape(-1)
+        return np.unique(self._present(s, own, order, lists, doc, start, slop, may_miss)[0])
+
+    def _present(self, s: Shard, own: np.ndarray, order: np.ndarray, lists, doc: np.ndarray, start: np.ndarray, reach: int, may_miss: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those places of an item's first word around which at most ``may_miss`` words are
+        farther than ``reach`` from their places."""
+        missing = np.zeros(len(start), np.int64)
+        for j in order:
+            if not len(start):
+                break
+            x = lists(own[j])
+            if len(x):
+                lo = np.maximum(start + j - reach, s.bounds[doc])
+                i = np.searchsorted(x, lo)
+                missing += (i == len(x)) | (x[np.minimum(i, len(x) - 1)] > np.minimum(start + j + reach, s.bounds[doc + 1] - 1))
+            else:
+                missing += 1
+            stay = missing <= may_miss
+            doc, start, missing = doc[stay], start[stay], missing[stay]
+        return doc, start
+
 
 FOUND = "shard string, place int, doc_id long, key long, n_words long, hits array<int>, items array<string>, near array<string>"
 
@@ -212,14 +247,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    return own.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_anti").select(*docs.columns)
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).distinct()
+    own = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("key"))
+    return unpacked(own.join(bad, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left_anti"))
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, items).drop("key", "n_near")
+    return contamination(docs, items).drop("key")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -232,9 +267,16 @@ dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
        FROM d, (SELECT DISTINCT n FROM bw), unnest(range(1, len(w) - n + 2)) AS u(i)),
 m AS (SELECT doc_id, item, i, n FROM dw JOIN bw USING (n, win)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + n)) AS u(p) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id),
+bt AS (SELECT item, i, w[i] AS word, len(w) AS n FROM b, unnest(range(1, len(w) + 1)) AS u(i) WHERE len(list_distinct(w)) >= 3),
+dt AS (SELECT doc_id, i AS p, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+cand AS (SELECT doc_id, item FROM (SELECT DISTINCT doc_id, word FROM dt) JOIN bt USING (word) GROUP BY ALL HAVING 100 * count(*) >= {NEAR_PERCENT} * any_value(n)),
+met AS (SELECT doc_id, item, i, n, p - i AS s0 FROM cand JOIN bt USING (item) JOIN dt USING (doc_id, word)),
+spread AS (SELECT DISTINCT doc_id, item, i, n, s0 + v.o AS s FROM met, (SELECT unnest(range(-{SLOP}, {SLOP} + 1)) AS o) v),
+nr AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM (SELECT doc_id, item FROM spread GROUP BY doc_id, item, s HAVING 100 * count(*) >= {NEAR_PERCENT} * any_value(n)) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
