@@ -13,7 +13,7 @@ import pytest
 import zstandard
 from comparing import SMALL
 
-from sparsewell.llm import langid, licenses, linededup, mixing, quality, queries, warc
+from sparsewell.llm import langid, licenses, mixing, quality, queries, warc
 from sparsewell.llm.store import release, saved
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -218,7 +218,7 @@ def test_templates_need_their_words_and_a_key_phrase(spark):
     assert got[4][0] == "mit" and got[4][1] > 0.5
 
 
-# ---------------------------------------------------------------- archives, lines
+# ---------------------------------------------------------------- archives
 
 
 def test_bundle_is_plain_zstd_with_a_seek_table(tmp_path):
@@ -238,34 +238,6 @@ def test_bundle_is_plain_zstd_with_a_seek_table(tmp_path):
     assert payload == b"<p>3</p>" * 9000 and int(http["Content-Length"]) == len(payload) and fields["WARC-Type"] == "response"
 
 
-def brute_lines(rows, words=linededup.MIN_WORDS):
-    seen, out = set(), {}
-    for d, t in sorted(rows):
-        lines = t.split("\n")
-        units = [i for i, x in enumerate(lines) if x.split()]
-        gone = set()
-        for a in range(len(units)):
-            n = 0
-            for b in range(a, len(units)):
-                n += len(lines[units[b]].split())
-                if n >= words:
-                    key = tuple(lines[i] for i in units[a : b + 1])
-                    if key in seen:
-                        gone.update(range(units[a], units[b] + 1))
-                    seen.add(key)
-                    break
-        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    return out
-
-
-def test_lines_by_brute_force(spark):
-    rng = random.Random(9)
-    stock = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice((0, 1, 5, 20, 30, 60)))) for _ in range(25)]
-    rows = [(i, "\n".join(stock[(k + i * 7) % 25] if rng.random() < 0.9 else "other" for k in range(rng.randrange(0, 14)))) for i in range(60)]
-    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_lines(rows)
-
-
 # ---------------------------------------------------------------- scratch tables
 
 
