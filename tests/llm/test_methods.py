@@ -154,20 +154,61 @@ def js(p, q):
     return math.sqrt(max(0.0, (h(p, q) + h(q, p)) / 2))
 
 
-def test_distances_by_hand(spark):
-    text = "The cat and the dog. " * 40 + "ZEBRA 99 %% of the zoo!\n" * 3
-    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
-    f = quality.features(docs).cache()
-    refs = quality.references(f)
-    row = quality.judge(docs).first()
-    n = Counter(re.findall(r"[^\W\d_]+", text.lower()))
-    total = sum(n.values())
-    word = []
-    for lang, (shares, _) in refs.items():
-        p = [n[w] / total for w in quality.COMMON[lang]]
-        word.append(js([*p, 1 - sum(p)], [*shares, 1 - sum(shares)]))
-    assert row.word_distance == pytest.approx(min(word))
-    assert row.class_distance == pytest.approx(0, abs=1e-6)  # its own reference
+def test_distances_by_hand(spark, monkeypatch):
+    """Two languages, their common words and shares counted by hand; the nearest counts."""
+    monkeypatch.setattr(quality, "MIN_REFERENCE", 1)
+    monkeypatch.setattr(quality, "MAX_REPEAT", 100)  # short texts that repeat themselves are references here
+    texts = {"en": "The cat and the dog of the house. " * 150 + "ZEBRA 99 %% of the zoo!\n" * 3, "xx": "um dois tres quatro cinco seis " * 180 + "7"}
+    rows = [(1, texts["en"], "en"), (2, texts["xx"], "xx"), (3, "the cat and the dog um dois zoo! " * 12, None), (4, "seis um cinco " * 80, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    words, classes = {}, {}
+    kind = lambda c: next((k for k, (_, p) in enumerate(quality.CLASSES) if re.fullmatch(p.replace(r"\p{L}", r"[^\W\d_]"), c)), len(quality.CLASSES))
+    for lang in texts:
+        own = [t for _, t, x in rows if x == lang]
+        n, df = Counter(w for t in own for w in t.split()), Counter(w for t in own for w in set(t.split()))
+        top = sorted(df, key=lambda w: (-df[w], w))[: quality.COMMON]
+        words[lang] = top, [n[w] / sum(n.values()) for w in top]
+        c = Counter(kind(ch) for t in own for ch in t)
+        classes[lang] = [c[k] / sum(c.values()) for k in range(len(quality.CLASSES) + 1)]
+    for i, t, _ in rows:
+        n, c = Counter(t.split()), Counter(map(kind, t))
+        word = []
+        for top, shares in words.values():
+            p = [n[w] / sum(n.values()) for w in top]
+            word.append(js([*p, max(0, 1 - sum(p))], [*shares, max(0, 1 - sum(shares))]))
+        assert got[i].word_distance == pytest.approx(min(word), abs=1e-6)
+        share = [c[k] / len(t) for k in range(len(quality.CLASSES) + 1)]
+        assert got[i].class_distance == pytest.approx(min(js(share, q) for q in classes.values()), abs=1e-6)
+
+
+def test_languages_without_a_reference_are_judged_by_the_base_rule(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    word = {"it": "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita".split()}
+    word["ru"] = "\u0431\u0443\u0440\u044f \u043c\u0433\u043b\u043e\u044e \u043d\u0435\u0431\u043e \u043a\u0440\u043e\u0435\u0442 \u0432\u0438\u0445\u0440\u0438 \u0441\u043d\u0435\u0436\u043d\u044b\u0435 \u043a\u0440\u0443\u0442\u044f \u0442\u043e \u043a\u0430\u043a \u0437\u0432\u0435\u0440\u044c \u043e\u043d\u0430".split()
+    add = [(900 + i, " ".join(rng.choice(w) for _ in range(200)), lang) for i, (lang, w) in enumerate(word.items())]
+    # many texts of a language make its reference, and then it is judged by it
+    add += [(910 + i, " ".join(rng.choice(word["it"]) for _ in range(200)), "its") for i in range(20)]
+    noise = [(950, " ".join(f"q{rng.randrange(999)}" for _ in range(300)), "its"), (951, " ".join(f"q{rng.randrange(999)}" for _ in range(300)), None)]
+    got = {r.doc_id: r for r in quality.judge(docs.unionByName(spark.createDataFrame(add + noise, docs.schema))).collect()}
+    for i, t, _ in add:
+        assert got[i].kept or got[i].base_failed, t
+    assert all(got[i].kept for i in (900, 901)) and not any(got[i].kept or got[i].base_failed for i in (950, 951))
+
+
+def test_common_words_of_a_sample(spark, monkeypatch):
+    """A language of more rows than the sample: the rows of the least hashes are counted."""
+    import hashlib
+
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 30)
+    rows = [(i, " ".join(f"w{i % 7} x{i}" for _ in range(60)), "en") for i in range(90)] + [(None, "z " * 5000, "en")]
+    got = quality.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    n: Counter = Counter()
+    for i, t, _ in rows[:-1]:
+        if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) < (30 << 32) // 90:
+            n.update(set(t.split()))
+    assert got == {"en": sorted(n, key=lambda w: (-n[w], w))[: quality.COMMON]}
 
 
 def test_base_counts_by_brute_force(spark):

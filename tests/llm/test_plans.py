@@ -18,7 +18,7 @@ def test_native_queries_run_no_python(spark, name):
 
 def test_native_parts_run_no_python(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for part in (linededup.windows(linededup.line_hashes(docs)), quality.features(docs), mixing.sizes(docs), mixing.mixed_documents(docs)):
+    for part in (linededup.windows(linededup.line_hashes(docs)), quality.features(docs, {"en": ["the", "of"]}), mixing.sizes(docs), mixing.mixed_documents(docs)):
         assert not any(word in plan(part) for word in ("Python", "Pandas", "Arrow"))
 
 
