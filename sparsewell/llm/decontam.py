@@ -246,8 +246,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, all columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).distinct()
+    """The documents without any benchmark passage, all columns: a single hit window is
+    enough to go, however long the text around it is."""
+    bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).distinct()
     own = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("key"))
     return unpacked(own.join(bad, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left_anti"))
 

@@ -62,7 +62,7 @@ def by_hand(spark, sf_dir):
     for r in rows:
         w = cut(r.text)
         hit = {p for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for p in range(i, i + n)}
-        if not (hit and 20 * len(hit) >= len(w)):
+        if not hit:
             clean.append(r)
     assert len(clean) < len(rows)
     want, m, _, _ = brute_taken(spark.createDataFrame(clean, docs.schema))
