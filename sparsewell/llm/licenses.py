@@ -1,13 +1,22 @@
-"""License scans: a positional rare-token index over licence templates.
-
-The templates' words are indexed with their positions and weighed by inverse document
-frequency over the templates.  Of a text, all words that few templates have (its
-highest-IDF licence words) look up template postings, and the differences between their
-position in the text and in the template are intersected: a template is a candidate
-where some of its rare words agree on one shift (shifts are taken in steps, on two
-overlapping grids, so small insertions do not hide it).  Its label is given if one of
-its mandatory key phrases stands in the text as consecutive words; its score is the
-share of its whole IDF mass, all words counted, that agrees on one shift.
+"""License scans: a positional rare-token index over licence notices.
+
+The words of the notices are indexed with their positions and weighed by inverse document
+frequency over the notices.  A notice's share in a text is the part of its IDF mass, over
+its distinct words, that stands in the text at one shift from where it stands in the
+notice (shifts are taken in cells of ``STEP`` words on two overlapping grids, so small
+insertions do not hide it).  A notice gives its label if its share is ``MIN_SHARE`` at
+least and one of its mandatory key phrases stands in the text as consecutive words.
+
+Only the highest-IDF words are looked up at first.  Of each notice, those of highest IDF
+that hold ``RARE_MASS`` of its mass are its rare ones; as the others hold the rest, a notice
+can reach its share only where rare words of mass ``MIN_SHARE + RARE_MASS - 1`` agree on a
+shift.  The postings of a text's rare words are intersected by shift; the notices that pass
+are the candidates, and only for them, and for texts with other labels, all words are looked
+up.  No notice is lost that way.
+
+Phrases that name a licence give its label too, wherever they stand as consecutive words;
+a name that is not in ``NAMES`` (as "MIT" alone) gives none.  The score is the largest
+share of any notice in a text with a label, so a mention alone has a small one.
 
 Defined cases: a null or blank text has no words, no labels and score 0; equal rows each
 give a row; an empty table gives an empty result; further columns are ignored.  Texts
@@ -20,61 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .licensetexts import BASE, NAMES, TEMPLATES
 from .wordhash import ALPHANUMERIC, Words, hash_word, pieces
 
-# The base phrases and their labels.
-BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-
-# Notices in common use, and the phrases of which one must be there.
-TEMPLATES = {
-    "apache-2.0": (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
-        ["apache license"],
-    ),
-    "mit": (
-        "released under the mit license permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-        ["mit license", "permission is hereby granted free of charge"],
-    ),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer bsd license",
-        ["redistribution and use in source and binary forms", "bsd license"],
-    ),
-    "mpl-2.0": (
-        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
-        ["mozilla public license"],
-    ),
-    "gpl-notice": (
-        "this work is licensed under the gnu general public license version 3 this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-        ["gnu general public license"],
-    ),
-    "lgpl": (
-        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
-        ["gnu lesser general public license"],
-    ),
-    "cc-by-sa": (
-        "this work is licensed under a creative commons attribution sharealike license cc by sa 4 0 international",
-        ["attribution sharealike", "cc by sa"],
-    ),
-    "cc-by-nc": (
-        "this work is licensed under a creative commons attribution noncommercial license cc by nc 4 0 international",
-        ["attribution noncommercial", "cc by nc"],
-    ),
-    "cc-notice": (
-        "this work is licensed under a creative commons attribution 4 0 international license licensed under cc by 4 0",
-        ["licensed under a creative commons", "licensed under cc by", "creative commons attribution"],
-    ),
-    "cc0": (
-        "to the extent possible under law the author has waived all copyright and related rights to this work public domain dedication cc0",
-        ["waived all copyright", "public domain dedication", "cc0"],
-    ),
-    "isc": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-        ["permission to use copy modify and or distribute this software"],
-    ),
-}
-#: Templates that may have a rare word; words looked up at once; width of a shift cell;
-#: distinct rare words that make a candidate, and words that make a score.
-RARE_IN, BLOCK, STEP, CANDIDATE, AGREE = 3, 64, 8, 2, 3
+STEP, MIN_SHARE, RARE_MASS = 8, 0.5, 0.75
 
 
 def _hashes(phrase: str) -> np.ndarray:
@@ -82,39 +40,52 @@ def _hashes(phrase: str) -> np.ndarray:
 
 
 class Index:
-    """Postings of every template word: template, position; IDF of each word."""
+    """Postings of every notice word: notice, position; IDF of each word; rare words."""
 
-    def __init__(self, templates: dict[str, tuple[str, list[str]]] = TEMPLATES, base: dict[str, str] = BASE):
-        self.names = list(templates)
+    def __init__(self, templates: dict[str, tuple[str, list[str]]] = TEMPLATES, base: dict[str, str] = BASE, names: dict[str, str] = NAMES):
+        self.labels = list(templates)
         self.base = [(_hashes(p), label) for p, label in base.items()]
+        self.names = [(_hashes(p), label) for p, label in names.items()]
         self.keys = [[_hashes(p) for p in phrases] for _, phrases in templates.values()]
         rows = [(h, t, i) for t, (text, _) in enumerate(templates.values()) for i, h in enumerate(_hashes(text).tolist())]
         h = np.array([r[0] for r in rows], np.uint64)
         order = np.argsort(h, kind="stable")
         self.template, self.at = (np.array([r[k] for r in rows])[order] for k in (1, 2))
         self.terms, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
-        df = np.array([len(set(self.template[a : a + n])) for a, n in zip(self.first, self.count, strict=True)])
-        self.idf, self.rare = np.log(1 + len(templates) / df), df <= RARE_IN
-        self.mass = np.zeros(len(templates))
-        pairs = np.unique(np.stack((self.template, np.repeat(np.arange(len(self.terms)), self.count))), axis=1)
-        np.add.at(self.mass, pairs[0], self.idf[pairs[1]])
-        wanted = np.unique(np.concatenate([p[:1] for p, _ in self.base] + [k[:1] for ks in self.keys for k in ks]))
-        self.wanted = wanted
+        term = np.repeat(np.arange(len(self.terms)), self.count)
+        pairs = np.unique(np.stack((self.template, term)), axis=1)
+        self.idf = np.log(1 + len(templates) / np.bincount(pairs[1], minlength=len(self.terms)))
+        self.mass = np.bincount(pairs[0], self.idf[pairs[1]], len(templates))
+        # of each notice, the highest-IDF words that hold RARE_MASS of its mass
+        rare = np.zeros((len(templates), len(self.terms)), bool)
+        for t in range(len(templates)):
+            own = pairs[1][pairs[0] == t]
+            own = own[np.argsort(-self.idf[own], kind="stable")]
+            rare[t, own[: int(np.searchsorted(np.cumsum(self.idf[own]), RARE_MASS * self.mass[t])) + 1]] = True
+        self.rare_mass = (rare * self.idf).sum(axis=1)
+        self.rare_posting = rare[self.template, term]
+        self.rare_term = rare.any(axis=0)
+        phrases = [p for p, _ in self.base + self.names] + [k for ks in self.keys for k in ks]
+        self.wanted = np.unique(np.array([p[0] for p in phrases], np.uint64))
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which words are licence words, and their term."""
         i = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         return self.terms[i] == h, i
 
-    def candidates(self, terms: np.ndarray, places: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
-        """(text, template) pairs in which rare words agree on a shift.  terms, places, doc:
-        licence words of many texts."""
-        own = self.rare[terms]
-        terms, places, doc = terms[own], places[own], doc[own]
+    def aligned(self, terms: np.ndarray, places: np.ndarray, doc: np.ndarray, rare: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(text, notice) pairs as text * notices + notice, and the largest IDF mass of
+        distinct words that agree on a shift.  rare: over rare words of the notice only."""
+        if rare:
+            own = self.rare_term[terms]
+            terms, places, doc = terms[own], places[own], doc[own]
         n = self.count[terms]
         post = np.repeat(self.first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        term, shift, pair = np.repeat(terms, n), np.repeat(places, n) - self.at[post], np.repeat(doc, n) * len(self.names) + self.template[post]
-        found: set[int] = set()
+        term, shift, pair = np.repeat(terms, n), np.repeat(places, n) - self.at[post], np.repeat(doc, n) * len(self.labels) + self.template[post]
+        if rare:
+            own = self.rare_posting[post]
+            term, shift, pair = term[own], shift[own], pair[own]
+        found, best = np.zeros(0, np.int64), np.zeros(0)
         for grid in (0, STEP // 2):
             cell = (shift + grid) // STEP
             order = np.lexsort((term, cell, pair))
@@ -123,35 +94,18 @@ class Index:
             new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
             once = new.copy()
             once[1:] |= t[1:] != t[:-1]
-            agree = np.bincount(np.cumsum(new) - 1, once)
-            found.update(p[new][agree >= CANDIDATE].tolist())
-        return {divmod(x, len(self.names)) for x in found}
-
-    def aligned(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Per template, the largest share of its IDF mass that agrees on a shift.  terms,
-        places: a text's licence words."""
-        best = np.zeros(len(self.names))
-        rare = np.argsort(-self.idf[terms], kind="stable")
-        votes = []
-        for lo in range(0, len(rare), BLOCK):  # rarest first, in blocks, until all words are looked up
-            t, p = terms[rare[lo : lo + BLOCK]], places[rare[lo : lo + BLOCK]]
-            n = self.count[t]
-            post = np.repeat(self.first[t] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            votes.append((self.template[post], np.repeat(p, n) - self.at[post], np.repeat(t, n)))
-        which, shift, term = (np.concatenate(x) for x in zip(*votes, strict=True))
-        for grid in (0, STEP // 2):
-            cell = (shift + grid) // STEP
-            order = np.lexsort((term, cell, which))
-            w, c, t = which[order], cell[order], term[order]
-            new = np.ones(len(w), bool)
-            new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
-            once = new.copy()
-            once[1:] |= t[1:] != t[:-1]
-            group = np.cumsum(new) - 1
-            mass, agree = np.bincount(group, np.where(once, self.idf[t], 0)), np.bincount(group, once)
-            of = w[new]
-            np.maximum.at(best, of, np.where(agree >= AGREE, mass / self.mass[of], 0))
-        return np.minimum(best, 1.0)
+            mass = np.bincount(np.cumsum(new) - 1, np.where(once, self.idf[t], 0.0)) if len(p) else np.zeros(0)
+            found, best = np.concatenate((found, p[new])), np.concatenate((best, mass))
+        pairs, at = np.unique(found, return_inverse=True)
+        out = np.zeros(len(pairs))
+        np.maximum.at(out, at, best)
+        return pairs, out
+
+    def candidates(self, terms: np.ndarray, places: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """(text, notice) pairs whose share may reach ``MIN_SHARE``, by their rare words."""
+        pairs, mass = self.aligned(terms, places, doc, rare=True)
+        of = pairs % len(self.labels)
+        return pairs[mass >= self.rare_mass[of] - (1 - MIN_SHARE) * self.mass[of] - 1e-9]
 
 
 def phrase_starts(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -168,12 +122,12 @@ def phrase_starts(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, phrase: np
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, list[str]]] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, tuple[str, list[str]]] = TEMPLATES, base: dict[str, str] = BASE, names: dict[str, str] = NAMES) -> DataFrame:
     """One row a document: places of base phrases, labels, and score, the largest share of
-    a labelled template's IDF mass found at one shift (1 for a base label alone)."""
+    a notice (0 without labels)."""
 
     def rows(batches):
-        index = Index(templates, base)
+        index = Index(templates, base, names)
         for batch in batches:
             for part, data, at in pieces(batch):
                 yield _scan_piece(index, part, data, at)
@@ -185,36 +139,41 @@ def _scan_piece(index: Index, part: pa.RecordBatch, data: np.ndarray, at: np.nda
     words = Words(data, at, ALPHANUMERIC)
     h, doc, bounds, n = words.hash, words.doc, words.bounds, part.num_rows
     known, term = index.lookup(h)
-    spots = np.flatnonzero(known | np.isin(h, index.wanted))
+    spots = np.flatnonzero(np.isin(h, index.wanted))
+    spots = spots[np.argsort(h[spots], kind="stable")]
+    heads = h[spots]
+    starts = lambda p: phrase_starts(h, doc, spots[np.searchsorted(heads, p[0]) : np.searchsorted(heads, p[0], "right")], p)
     n_base, first, last = np.zeros(n, np.int64), np.full(n, len(h)), np.full(n, -1)
     base_labels: list[set[str]] = [set() for _ in range(n)]
     labels: list[set[str]] = [set() for _ in range(n)]
-    score = np.zeros(n)
     for phrase, label in index.base:
-        s = phrase_starts(h, doc, spots[h[spots] == phrase[0]], phrase)
+        s = starts(phrase)
         np.add.at(n_base, doc[s], 1)
         np.minimum.at(first, doc[s], s)
         np.maximum.at(last, doc[s], s)
         for d in np.unique(doc[s]):
             base_labels[d].add(label)
             labels[d].add(label)
-            score[d] = 1.0
-    licence = np.flatnonzero(known)
-    candidates = index.candidates(term[licence], licence, doc[licence])
-    keyed: dict[int, set[int]] = {}
-    for t, phrases in enumerate(index.keys):
-        of = {d for d, u in candidates if u == t}
-        for phrase in phrases:
-            s = phrase_starts(h, doc, spots[h[spots] == phrase[0]], phrase)
-            for d in of.intersection(doc[s].tolist()):
-                keyed.setdefault(d, set()).add(t)
-    for d, found in keyed.items():
-        own = np.arange(bounds[d], bounds[d + 1])[known[bounds[d] : bounds[d + 1]]]
-        share = index.aligned(term[own], own - bounds[d]) if len(own) else np.zeros(len(index.names))
-        for t in found:
-            if share[t] > 0:
-                labels[d].add(index.names[t])
-                score[d] = max(score[d], float(share[t]))
+    for phrase, label in index.names:
+        for d in np.unique(doc[starts(phrase)]):
+            labels[d].add(label)
+    own = np.flatnonzero(known)
+    place = own - bounds[doc[own]]  # in the text, so that cells hang on no other text
+    hopeful = index.candidates(term[own], place, doc[own])
+    look = np.zeros(n, bool)  # texts of which all words are looked up
+    look[[d for d in range(n) if labels[d]]] = True
+    look[hopeful // len(index.labels)] = True
+    score = np.zeros(n)
+    place, own = place[look[doc[own]]], own[look[doc[own]]]
+    pairs, mass = index.aligned(term[own], place, doc[own], rare=False)
+    of, share = pairs % len(index.labels), np.minimum(1.0, mass / index.mass[pairs % len(index.labels)])
+    np.maximum.at(score, pairs // len(index.labels), share)
+    for t in np.unique(of[share >= MIN_SHARE]):
+        full = set((pairs[(of == t) & (share >= MIN_SHARE)] // len(index.labels)).tolist())
+        for phrase in index.keys[t]:
+            for d in full.intersection(doc[starts(phrase)].tolist()):
+                labels[d].add(index.labels[t])
+    score[[d for d in range(n) if not labels[d]]] = 0.0
     none = n_base == 0
     mask = lambda x: pa.array(x - bounds[:-1], pa.int64(), mask=none)
     joined = lambda sets: pa.array([",".join(sorted(x)) for x in sets], pa.string())
