@@ -1,10 +1,15 @@
 """Language identification of mixed-language text.
 
 Each word is scored for each language by the log-likelihood of its byte n-grams (1 to 4
-bytes, word ends marked).  The script of a word narrows its candidates to languages
-written in that script; other languages are out of reach by a fixed margin.  A Viterbi
-pass over the words of a text, with a penalty for each switch of language, labels
-spans.  The text's language is the one whose spans hold most letters.
+bytes, word ends marked).  The script of a word, by ranges of code points, narrows its
+candidates to languages written in that script; other languages are out of reach by a
+fixed margin.  A Viterbi pass over the words of a text, with a penalty for each switch of
+language, labels spans.  The text's language is the one whose spans hold most letters (of
+equal ones the first in order), letters of scripts that no language is written in not
+counted, if there are others.
+
+The score is the share of all the text's letters that were counted for that language, times
+how sure it is against the others.
 
 The Viterbi pass is skipped only where it provably changes nothing: if no stretch of
 words gains more for other languages than its switches cost, the best single language
@@ -16,8 +21,8 @@ more); rows whose crc32(doc_id as text) is a multiple of 5 are held out.
 
 Defined cases: a null text, or one with no letters, is ``und`` with score 0; a null
 doc_id is neither learned from nor held out; a text in a script of no language gets the
-best language by n-grams; with nothing to learn from, every text is ``und``; equal rows
-each give a row; an empty table gives an empty result; further columns are ignored.
+best language by n-grams, with score 0; of equally good languages the first in order counts;
+with nothing to learn from, every text is ``und``; equal rows each give a row; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import packed, unpacked
-from .wordhash import BLANK_SEPARATED, Words, pieces
+from .scripts import SCRIPTS, LetterWords
+from .wordhash import Words, pieces
 
 FOLDS, SAMPLE_ROWS = 5, 4000
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3, 4)
@@ -42,33 +48,8 @@ SMOOTH = 0.5
 MIN_SCORE = 0.3
 PREDICTED = "doc_id long, lang_pred string, score double, spans array<struct<first_word:int,last_word:int,lang:string>>"
 
-# First bytes of UTF-8 letters by script.
-SCRIPTS = (("latin", 0xC3, 0xC9), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD4), ("hebrew", 0xD6, 0xD7), ("arabic", 0xD8, 0xDB), ("indic", 0xE0, 0xE0), ("east", 0xE3, 0xE9), ("hangul", 0xEA, 0xED))
-SCRIPT_OF = np.zeros(256, np.int64)  # 0: latin, as ASCII letters
-for _k, (_, _a, _b) in enumerate(SCRIPTS):
-    SCRIPT_OF[_a : _b + 1] = _k
 _U = np.uint64
 
-_ASCII_LETTER = np.zeros(256, bool)
-_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
-LETTERS = BLANK_SEPARATED.copy()
-LETTERS[:128] = False
-LETTERS |= _ASCII_LETTER
-LETTERS[0xC2] = LETTERS[0xE2] = False  # Latin-1 and general punctuation
-
-
-class LetterWords(Words):
-    """Runs of letters.  Two- and three-byte punctuation breaks a word with all its bytes."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        if (data >= 0x80).any():
-            data = data.copy()
-            for lead, n in ((0xC2, 2), (0xE2, 3)):
-                at = np.flatnonzero(data == lead)
-                for k in range(n):
-                    data[at[at + k < len(data)] + k] = 0x20
-        super().__init__(data, offsets, LETTERS)
-
 
 def grams(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every n-gram of the given words, and the word each is of.  Every word is
@@ -82,7 +63,7 @@ def grams(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.nd
     of = np.repeat(np.arange(len(size)), size + 1)
     blank, found = buf == 0x20, []
     for n in ORDERS:
-        m = len(buf) - n
+        m = len(buf) - n + 1
         if m <= 0:
             continue
         code = np.full(m, n, _U)
@@ -115,14 +96,18 @@ class Model:
         self.logp = np.log((counts + SMOOTH) / (total + SMOOTH * BUCKETS)).T.astype(np.float32).copy()
         self.reach = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)
 
-    def scores(self, words: Words) -> np.ndarray:
+    def reached(self, words: LetterWords) -> np.ndarray:
+        """Which words are in a script of some language."""
+        return self.reach.any(axis=0)[words.script]
+
+    def scores(self, words: LetterWords) -> np.ndarray:
         """Per word and language; the mean over the orders, so a byte counts about once."""
         sample, inverse = distinct(words)
         bucket, word = grams(words.bytes, words.start[sample], words.stop[sample])
         s = np.empty((len(sample), len(self.langs)))
         for k in range(len(self.langs)):
             s[:, k] = np.bincount(word, self.logp[bucket, k], len(sample)) / len(ORDERS)
-        can = self.reach[:, SCRIPT_OF[words.bytes[words.start[sample]]]].T
+        can = self.reach[:, words.script[sample]].T
         s -= MARGIN * (~can & can.any(axis=1, keepdims=True))
         return (s - s.max(axis=1, keepdims=True))[inverse] if len(s) else s
 
@@ -204,7 +189,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                 of = lang[words.doc]
                 bucket, word = grams(words.bytes, words.start, words.stop)
                 np.add.at(sums, (of[word], bucket), 1)
-                np.add.at(kinds, (of, SCRIPT_OF[words.bytes[words.start]]), 1)
+                np.add.at(kinds, (of, words.script), 1)
         flat = np.concatenate((sums, kinds), axis=1)
         a, b = np.nonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(flat[a, b])], names=["lang", "cell", "n"])
@@ -225,11 +210,13 @@ def _predict(model: Model, part: pa.RecordBatch, data: np.ndarray, at: np.ndarra
         k = len(model.langs)
         e = model.scores(words)
         path = model.paths(e, words.bounds)
-        letters = np.bincount(words.doc * k + path, words.stop - words.start, n_docs * k).reshape(n_docs, k)
+        size = words.stop - words.start
+        letters = np.bincount(words.doc * k + path, size, n_docs * k).reshape(n_docs, k)
+        readable = np.bincount(words.doc * k + path, size * model.reached(words), n_docs * k).reshape(n_docs, k)
         sums = np.zeros((n_docs, k))
         np.add.at(sums, words.doc, e)
-        best = letters.argmax(axis=1)
-        own = np.flatnonzero(letters.sum(axis=1) > 0)
+        best = np.where(readable.any(axis=1, keepdims=True), readable, letters).argmax(axis=1)
+        own = np.flatnonzero(words.lettered)
         z = np.exp(sums[own] - sums[own].max(axis=1, keepdims=True))
         # texts of several languages: how sure the words of its own spans are
         mine = path == best[words.doc]
@@ -237,7 +224,7 @@ def _predict(model: Model, part: pa.RecordBatch, data: np.ndarray, at: np.ndarra
         np.add.at(within, words.doc[mine], e[mine])
         w = np.exp(within[own] - within[own].max(axis=1, keepdims=True))
         sure = np.maximum((z / z.sum(axis=1, keepdims=True))[np.arange(len(own)), best[own]], (w / w.sum(axis=1, keepdims=True))[np.arange(len(own)), best[own]])
-        score[own] = letters[own, best[own]] / letters[own].sum(axis=1) * sure
+        score[own] = readable[own, best[own]] / letters[own].sum(axis=1) * sure
         for d in own:
             pred[d] = model.langs[best[d]]
         cut = np.ones(len(path), bool)
@@ -247,14 +234,8 @@ def _predict(model: Model, part: pa.RecordBatch, data: np.ndarray, at: np.ndarra
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             d = words.doc[a]
             base = words.bounds[d]
-            spans[d].append({"first_word": int(a - base), "last_word": int(b - base), "lang": model.langs[path[a]]})
-    ascii_letters = np.bincount(np.searchsorted(at, np.flatnonzero(_ASCII_LETTER[data]), "right") - 1, minlength=n_docs)
-    for d in np.flatnonzero((ascii_letters == 0) & (np.diff(at) > 0)):  # other letters are told from marks by their category
-        letter = any(c.isalpha() for c in data[at[d] : at[d + 1]].tobytes().decode())
-        if not letter:
-            pred[d], score[d], spans[d] = "und", 0.0, []
-        elif pred[d] == "und" and model.langs:
-            pred[d], score[d] = model.langs[0], 1 / len(model.langs)
+            if words.lettered[d]:
+                spans[d].append({"first_word": int(a - base), "last_word": int(b - base), "lang": model.langs[path[a]]})
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("lang", pa.string())]))
     return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(pred), pa.array(score), pa.array(spans, kind)], names=["doc_id", "lang_pred", "score", "spans"])
 

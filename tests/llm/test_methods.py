@@ -14,6 +14,7 @@ import zstandard
 from comparing import SMALL
 
 from sparsewell.llm import langid, licenses, mixing, quality, queries, warc
+from sparsewell.llm.scripts import SCRIPTS
 from sparsewell.llm.store import release, saved
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -36,7 +37,7 @@ def test_viterbi_is_the_best_of_all_paths():
 
 def test_the_shortcut_changes_nothing():
     rng = np.random.default_rng(3)
-    model = langid.Model(["a", "b", "c"], np.ones((3, langid.BUCKETS)), np.ones((3, len(langid.SCRIPTS))))
+    model = langid.Model(["a", "b", "c"], np.ones((3, langid.BUCKETS)), np.ones((3, len(SCRIPTS))))
     for _ in range(40):
         bounds = np.concatenate(([0], np.cumsum(rng.integers(0, 25, 12))))
         e = -rng.exponential(4, (bounds[-1], 3))

@@ -5,8 +5,8 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from languages import Brute
 from test_methods import brute_taken, copies
 from test_ngramjoin import brute_force
 from tokenizers import Tokenizer
@@ -14,7 +14,6 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sparsewell.llm import langid
 from sparsewell.llm.pretokens import default_tokenizer
-from sparsewell.llm.wordhash import text_bytes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,19 +37,8 @@ def sf_dir(spark, tmp_path_factory):
 
 def by_hand(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = langid.learn(docs)
-    rows = []
-    for r in docs.collect():
-        data, at = text_bytes(pa.array([r.text], pa.string()))
-        words = langid.LetterWords(data, at)
-        if len(words.hash):
-            e = model.scores(words)
-            path = langid.viterbi(e, langid.SWITCH)
-            letters = np.bincount(path, words.stop - words.start, len(model.langs))
-            best = letters.argmax()
-            of = lambda s: (np.exp(s - s.max()) / np.exp(s - s.max()).sum())[best]  # noqa: B023, E731
-            if letters[best] / letters.sum() * max(of(e.sum(axis=0)), of(e[path == best].sum(axis=0))) >= langid.MIN_SCORE:
-                rows.append(r)
+    brute = Brute([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    rows = [r for r in docs.collect() if brute.predict(r.text)[1] >= langid.MIN_SCORE]
     assert 10_002 not in {r.doc_id for r in rows} and len(rows) < docs.count()
     keep = {d for d, _, c in brute_force([(r.doc_id, r.text) for r in rows]) if d == c}
     assert len(keep) < len(rows) - 30
