@@ -29,8 +29,23 @@ link if these are at most (n(x) + n(y)) / 9.  Of two sets in different component
 is not linked to the hub, so |D(x)| > (n(x) + n(hub)) / 9; it follows that y must share
 more than (|D(y)| + (n(hub) - n(y)) / 9) / 2 of its differences with x, and x at least
 |D(x)| - n(x) / 4 of its own with y.  Both are prefix filters, and as near copies mostly
-differ from the original in shingles of their own, few candidates remain; all are
-compared.  Sets are compared by 48 bits of their shingles' hashes.
+differ from the original in shingles of their own, few candidates remain.  All candidates
+are compared.  Sets are compared by 48 bits of their shingles' hashes.
+
+Where the differences are frequent themselves, as in texts put together from a stock of
+passages, these filters keep most pairs.  The pairs are therefore counted first: a list
+(hub) that would give more than ``PAIRS`` a member is crowded, and for its members there is
+a second way.  Shingles whose members have the same least values of four hashes are one class; a
+passage is mostly one class, although texts with edits lack some of it.  A text has a class
+if it holds three quarters of it, has it not if a quarter at most, and may count either way
+between.  If one of two texts has a class and the other has not, they differ in half of it,
+so two linked sets agree on all heavy classes (of about a fourteenth of a set at least) but
+some of bounded weight.  A member is indexed under its heavy classes less each set of them
+within that bound, and linked sets share what both have; as one of them lacks no more than
+half of what both may, only entries of which one lacks that little are joined.  Members whose heavy classes outweigh the bound are
+found with all their links; they go the way that gives them fewer candidates.  How well
+classes fit passages only changes the cost.  What remains quadratic are crowded lists
+without heavy classes, as of texts of dozens of short passages.
 
 Defined cases: a text without words is empty, links with nothing and is a component of
 its own; a text of fewer than five words has one shingle, its whole sequence; equal rows
@@ -57,8 +72,10 @@ K, PERCENT = 5, 80
 #: Level (log2 of document frequency) from which shingles are indexed in pairs.
 FREQUENT = 4
 TABLE_BITS, TOP_LEVEL = 26, 15
-#: Tasks that share the postings of one signature.
-SALTS = 16
+#: Tasks that share the rows of one key, and pairs of a key from which they do.
+SALTS, SHARED = 16, 1 << 16
+#: Candidate pairs a member from which on a list is crowded.
+PAIRS = 16
 #: Shingles counted in one task before they are sent on, and in one bucket of counts.
 COUNT_RUN, BUCKET_SHINGLES = 2 << 20, 1 << 18
 _U = np.uint64
@@ -299,6 +316,151 @@ def _sizes_fit(n, m):
     return PERCENT * F.greatest(n, m) <= 100 * F.least(n, m)
 
 
+def _salt(of: str = "sid"):
+    return F.pmod(of, F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _salts():
+    """The salts that rows of a group have, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("salt"))).alias("salts")
+
+
+def _each_salt():
+    """A row for each salt that the group has: a join on (key, salt) then repeats a group's
+    row no more often than it has rows, and no task takes a whole frequent key."""
+    has = lambda k: F.col("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), has)).alias("salt")
+
+
+def _met(x: DataFrame, y: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs (a, b) of x and y with equal keys, of different components and fitting sizes.
+    Both have sid, n, root, lost (twice the shingles that the other set lacks for sure) and
+    pairs (of the key); keys of many pairs are dealt over tasks."""
+    deal = F.when(F.col("pairs") > SHARED, SALTS).otherwise(1)
+    x = x.select(*key, F.col("sid").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp"), F.col("lost").alias("lp"), F.explode(F.sequence(F.lit(0), deal - 1)).alias("salt"))
+    y = y.select(*key, F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"), F.col("lost").alias("lq"), F.pmod(F.col("sid"), deal).cast("int").alias("salt"))
+    met = x.join(y, [*key, "salt"]).where((F.col("rp") != F.col("rq")) & _sizes_fit(F.col("np"), F.col("nq")))
+    met = met.where(9 * (F.col("lp") + F.col("lq")) <= 2 * (F.col("np") + F.col("nq")))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+TOKENS = "sid long, token long"
+
+
+def heavy_classes(members: DataFrame, sets: DataFrame, table: np.ndarray) -> DataFrame:
+    """For members (sid, n, root): sid, n, root and classes (class, weight, has) of the heavy
+    classes, those of about a fourteenth of a set (so few), that it has or may have."""
+    shared = members.sparkSession.sparkContext.broadcast(table)
+
+    def rows(batches):
+        for batch in batches:
+            for sid, raw in zip(batch.column("sid").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                h = _wide(raw)
+                h = h[look_up(shared.value, h << _U(16)) > 0]
+                yield _batch(TOKENS, np.full(len(h), sid), h.view(np.int64))
+
+    tokens = saved(members.select("sid").join(sets, "sid").select("sid", "hashes").mapInArrow(rows, TOKENS).withColumn("salt", _salt()), "ngram-tokens")
+    least = [F.min(F.xxhash64(F.lit(k), "sid")) for k in range(4)]
+    kinds = tokens.groupBy("token").agg(F.xxhash64(*least).alias("class"), F.count("*").alias("c"), _salts()).where("c > 1")
+    kinds = saved(kinds.select("token", "class", "salts"), "ngram-kinds")
+    weights = kinds.groupBy("class").agg(F.count("*").cast("int").alias("weight"))
+    own = tokens.join(kinds.select("token", "class", _each_salt()), ["token", "salt"]).groupBy("sid", "class").agg(F.count("*").alias("held"))
+    own = own.join(members, "sid").where(F.col("held") * 8 * HEAVY >= F.col("n")).join(weights, "class")
+    own = own.where((F.col("weight") * 2 * HEAVY >= F.col("n")) & (4 * F.col("held") > F.col("weight")))
+    has = (4 * F.col("held") >= 3 * F.col("weight")).alias("has")
+    return own.groupBy("sid", "n", "root").agg(F.array_sort(F.collect_list(F.struct("class", "weight", has))).alias("classes"))
+
+
+#: A class is heavy if it has a tenth of the smaller of two linked sets, less up to a factor
+#: of sqrt(2): the bounds are powers of it, so that both sets know them.
+HEAVY = 10
+#: Entries of a set from which it is left to the first way.
+ENTRIES = 2000
+CLASS_SIGNATURES = "sig long, sid long, n int, root long, lost int, small boolean, able boolean, listed boolean"
+
+
+def heavy_bounds(n: int) -> list[float]:
+    """The bounds of heavy classes that a set of n shingles may have in common with a linked
+    one: of the smaller sets' sizes from 0.8 n on to n."""
+    power = lambda m: int(np.floor(2 * np.log2(m / HEAVY) + 1e-9))
+    return [2 ** (k / 2) for k in range(power(PERCENT * n / 100), power(n) + 1)]
+
+
+def class_signatures(classes: list[tuple[int, int, bool]], n: int) -> tuple[dict[tuple[float, int], int], bool] | None:
+    """What a set is indexed under, from (class, weight, has): the least weight left out for
+    each, and whether that finds all its links; None: more than ``ENTRIES``."""
+    out: dict[tuple[float, int], int] = {}
+    able, spare = True, 2 * allowed_missing(n)
+    for bound in heavy_bounds(n):
+        heavy = sorted(((w, c, has) for c, w, has in classes if w >= bound), reverse=True)
+        able = able and sum(w for w, _, has in heavy if has) > spare
+        kept = [(0, 0, sum(c for _, c, _ in heavy), len(heavy))]  # place, weight left out, sum of classes, their number
+        while kept:
+            at, lost, total, size = kept.pop()
+            if size:
+                key = bound, total % (1 << 64)
+                out[key] = min(lost, out.get(key, lost))
+                if len(out) > ENTRIES:
+                    return None
+            for k in range(at, len(heavy)):
+                w, c, has = heavy[k]
+                if lost + w * has <= spare:
+                    kept.append((k + 1, lost + w * has, total - c, size - 1))
+    return out, able
+
+
+def by_classes(heavy: DataFrame) -> DataFrame:
+    """sig, sid, n, root, lost, small (lost is no more than half of what two sets may), able,
+    listed (false: too many entries, and no sig) of members with heavy classes."""
+
+    def rows(batches):
+        for batch in batches:
+            for sid, n, root, classes in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "root", "classes")), strict=True):
+                found = class_signatures([(c["class"], c["weight"], c["has"]) for c in classes], n)
+                if found is None:
+                    yield _batch(CLASS_SIGNATURES, [None], [sid], [n], [root], [0], [False], [False], [False])
+                elif found[0]:
+                    sig = mixed(np.array([(total + int(bound * 1024)) % (1 << 64) for bound, total in found[0]], _U)).view(np.int64)
+                    lost = np.array(list(found[0].values()))
+                    yield _batch(CLASS_SIGNATURES, sig, *([v] * len(sig) for v in (sid, n, root)), lost, 4 * lost <= n, [found[1]] * len(sig), [True] * len(sig))
+
+    return heavy.mapInArrow(rows, CLASS_SIGNATURES)
+
+
+def candidates(members: DataFrame, sets: DataFrame, table: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of members (hub, sid, n, root) of lists among which are all links between
+    different components (roots)."""
+    diff = saved(differences(members, sets, table), "ngram-differences")
+    counts = diff.groupBy("hub", "token").agg(F.count_if("as_x").alias("cx"), F.count_if("as_y").alias("cy"), F.bit_or(F.call_function("shiftleft", F.lit(1), _salt())).alias("salts"))
+    counts = saved(counts.where("cx > 0 and cy > 0").withColumn("pairs", F.col("cx") * F.col("cy")), "ngram-counts")
+    each = counts.select("hub", "token", "cy", "pairs", F.lit(0).alias("lost"), _each_salt())
+    diff = saved(diff.withColumn("salt", _salt()).join(each, ["hub", "token", "salt"]).drop("salt"), "ngram-differences")
+    crowded = counts.groupBy("hub").agg(F.sum("pairs").alias("pairs")).join(members.groupBy("hub").agg(F.count("*").alias("size")), "hub")
+    crowded = saved(crowded.where(F.col("pairs") > PAIRS * F.col("size")).select("hub"), "ngram-crowded")
+    key, x, y = ["hub", "token"], diff.where("as_x"), diff.where("as_y")
+    if crowded.isEmpty():
+        return _met(x, y, key)
+    some = members.join(crowded, "hub", "left_semi").select("sid", "n", "root").distinct()
+    sigs = saved(by_classes(heavy_classes(saved(some, "ngram-members"), sets, table)).withColumn("salt", _salt()), "ngram-classes")
+    lists = sigs.where("listed").groupBy("sig").agg(F.count("*").alias("size"), F.count_if("small").alias("few"), _salts()).where("size > 1 and few > 0")
+    lists = lists.select("sig", "size", "few", (F.col("size") * F.col("few")).alias("pairs"), _each_salt())
+    listed = saved(sigs.join(lists, ["sig", "salt"]).drop("salt"), "ngram-class-lists")
+    able = sigs.where("able").select("sid").distinct()
+    one = listed.groupBy("sid").agg(F.sum(F.when(F.col("small"), F.col("size")).otherwise(F.col("few"))).alias("one"))
+    other = x.join(crowded, "hub", "left_semi").groupBy("sid").agg(F.sum("cy").alias("other"))
+    chosen = able.join(other, "sid").join(one, "sid", "left").where(F.coalesce("one", F.lit(0)) <= F.col("other")).select("sid")
+    chosen = saved(chosen, "ngram-chosen")
+    x = x.join(crowded.withColumn("full", F.lit(True)), "hub", "left").join(chosen.withColumn("other_way", F.lit(True)), "sid", "left")
+    second = F.col("full").isNotNull() & F.col("other_way").isNotNull()
+    met = _met(x.where(~second), y, key)
+    unlisted = saved(sigs.where("not listed").select("sid"), "ngram-unlisted")
+    if not unlisted.isEmpty():
+        met = met.unionByName(_met(x.where(second), y.join(unlisted, "sid", "left_semi"), key))
+    mine = listed.join(chosen, "sid", "left_semi")
+    met = met.unionByName(_met(mine.where("small"), listed, ["sig"])).unionByName(_met(mine.where("not small"), listed.where("small"), ["sig"]))
+    return met.distinct()
+
+
 def linked_components(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, component_id (least doc_id reachable by
     links), component (a number of its own; null: an empty set, alone)."""
@@ -307,15 +469,16 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
 
 def _linked_components(docs: DataFrame) -> DataFrame:
-    own = saved(document_sets(docs), "ngram-sets")
+    own = saved(document_sets(docs), "ngram-sets").withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int"))
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    reps = own.where("n > 0").groupBy("sid").agg(least.alias("r"), F.count("*").alias("copies"))
-    reps = reps.select("sid", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), "copies")
+    reps = own.where("n > 0").groupBy("sid").agg(least.alias("r"), F.count("*").alias("copies"), _salts())
+    reps = reps.select("sid", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), "copies", "salts")
     table = frequency_table(docs, total)
-    post = saved(postings(docs, table).distinct(), "ngram-postings")
-    hubs = post.groupBy("sig").agg(F.min(F.struct("alone", "sid", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    post = saved(post.join(hubs, "sig").select("sig", "sid", "n", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), "members"), "ngram-lists")
+    post = saved(postings(docs, table).distinct().withColumn("salt", _salt()), "ngram-postings")
+    hubs = post.groupBy("sig").agg(F.min(F.struct("alone", "sid", "n")).alias("hub"), F.count("*").alias("members"), _salts()).where("members > 1")
+    hubs = hubs.select("sig", "hub", "members", "salts", _each_salt())
+    post = saved(post.join(hubs, ["sig", "salt"]).select("sig", "sid", "n", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), "members", "salt"), "ngram-lists")
 
     stars = post.where((F.col("sid") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n")))
     stars = saved(stars.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct(), "ngram-stars")
@@ -326,23 +489,17 @@ def _linked_components(docs: DataFrame) -> DataFrame:
 
     # lists that still span components
     named = post.where("members > 2").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = named.withColumn("salt", F.pmod("sid", F.lit(SALTS)).cast("int"))  # deals the members of a frequent signature
-    split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    split = split.select("sig", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = named.join(split, ["sig", "salt"], "left_semi").where("sid <> hub").select("hub", "sid", "n", "root").distinct()
-    diff = saved(differences(members, sets, table), "ngram-differences")
-    x = diff.where("as_x").select("hub", "token", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp"))
-    y = diff.where("as_y").select("hub", "token", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"))
-    met = x.join(y, ["hub", "token"]).where((F.col("rp") != F.col("rq")) & _sizes_fit(F.col("np"), F.col("nq")))
-    met = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), _salts()).where("lo <> hi").select("sig", _each_salt())
+    members = saved(named.join(split, ["sig", "salt"], "left_semi").where("sid <> hub").select("hub", "sid", "n", "root").distinct(), "ngram-members")
+    met = candidates(members, sets, table)
     more = saved(verified(met.join(stars, ["a", "b"], "left_anti"), sets), "ngram-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
     named = reps.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    of = named.join(least, "root").select(F.col("sid").alias("_sid"), "component_id", "root")
-    out = own.join(of, (F.col("sid") == F.col("_sid")) & (F.col("n") > 0), "left")
+    of = named.join(least, "root").select(F.col("sid").alias("_sid"), "component_id", "root", _each_salt().alias("_salt"))
+    out = own.join(of, (F.col("sid") == F.col("_sid")) & (F.col("salt") == F.col("_salt")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "sid"))
     return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), component.alias("component"))
 

@@ -8,6 +8,7 @@ import pytest
 
 from sparsewell.llm import ngramjoin
 from sparsewell.llm.components import components
+from sparsewell.llm.store import saved
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -77,6 +78,88 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, frequent):
     assert sorted(map(tuple, got)) == brute_force(rows)
 
 
+@pytest.mark.parametrize(("seed", "frequent", "hashes"), [(6, 4, 3), (7, 2, 10), (8, 1, 30)])
+def test_components_of_crowded_lists(spark, monkeypatch, seed, frequent, hashes):
+    """Every list is crowded, and classes are as light as can be."""
+    monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
+    monkeypatch.setattr(ngramjoin, "PAIRS", 0)
+    monkeypatch.setattr(ngramjoin, "HEAVY", hashes)
+    rows = corpus(seed)
+    got = ngramjoin.linked_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == brute_force(rows)
+
+
+def test_sets_of_too_many_entries_go_the_first_way(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "PAIRS", 0)
+    monkeypatch.setattr(ngramjoin, "ENTRIES", 3)
+    rows = passages(150, edits=40, seed=3)
+    got = ngramjoin.linked_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == brute_force(rows)
+
+
+def passages(n, edits=0, seed=1, stock=40, take=8, words=60):
+    """Texts of 8 out of 40 passages, and copies of some with a word of a passage changed."""
+    rng = random.Random(seed)
+    every = [" ".join(f"p{i}w{j}" for j in range(words)) for i in range(stock)]
+    rows = [(i, "\n".join(rng.sample(every, take))) for i in range(n)]
+    for k in range(edits):
+        own = rows[rng.randrange(n)][1].split()
+        own[rng.randrange(len(own))] = "changed"
+        rows.append((n + k, " ".join(own)))
+    return rows
+
+
+def test_candidates_of_mixed_passages_do_not_grow_with_the_square(spark, monkeypatch):
+    compared, verified = [], ngramjoin.verified
+
+    def counted(pairs, sets):
+        pairs = saved(pairs, "counted")
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(ngramjoin, "verified", counted)
+    for edits in (0, 10):
+        for n in (300, 600, 1200):
+            rows = passages(n, n // 100 * edits)
+            compared.clear()
+            got = ngramjoin.linked_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+            got = sorted(map(tuple, got.collect()))
+            if n < 1200:
+                assert got == brute_force(rows)
+            # one pair a list that a set is in, and next to none of the second join
+            assert compared[0] < 40 * n and sum(compared[1:]) < n / 4, (n, compared)
+
+
+def test_linked_sets_share_an_entry():
+    """Sets of classes at random, texts with parts of them lost: linked ones agree on a
+    signature that leaves no more out than they differ by, if one of them promises it."""
+    rng = np.random.default_rng(9)
+    tried = 0
+    for _ in range(3000):
+        size = [int(x) for x in rng.integers(5, 60, 14)]
+        stock = [{(c, k) for k in range(s)} for c, s in enumerate(size)]
+        base = set().union(*(stock[c] for c in rng.choice(14, 8, replace=False)))
+        lose = lambda: {t for t in base if rng.random() > rate}  # noqa: B023, E731
+        rate = float(rng.choice([0.0, 0.03, 0.1]))
+        x, y = lose(), lose()
+        if rng.random() < 0.5:
+            y |= stock[int(rng.integers(14))]
+        if not x or 100 * len(x & y) < 80 * len(x | y):
+            continue
+        sides = []
+        for s in (x, y):
+            held = [(c, len(s & whole)) for c, whole in enumerate(stock)]
+            own = [(c * 7919 + 1, size[c], 4 * h >= 3 * size[c]) for c, h in held if 4 * h > size[c] and size[c] * 2 * ngramjoin.HEAVY >= len(s)]
+            sides.append(ngramjoin.class_signatures(own, len(s)))
+        if None in sides or not (sides[0][1] or sides[1][1]):
+            continue
+        tried += 1
+        both = sides[0][0].keys() & sides[1][0].keys()
+        lost = [(sides[0][0][k], sides[1][0][k]) for k in both]
+        assert any(9 * (p + q) <= 2 * (len(x) + len(y)) and (4 * p <= len(x) or 4 * q <= len(y)) for p, q in lost)
+    assert tried > 300
+
+
 def test_null_and_repeated_ids(spark):
     base = [f"w{i}" for i in range(60)]
     a, b, c = " ".join(base), " ".join([*base, "x"]), " ".join(["y", *base])
