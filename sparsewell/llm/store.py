@@ -1,8 +1,9 @@
 """Scratch tables in the folder that the cluster shares.
 
-``spark.checkpoint.dir`` names it; it is set here only where the session leaves
-it unset (local runs and tests).  Tables written by a session stay readable
-until :func:`release` removes them, because lazy results may still read them.
+``spark.checkpoint.dir`` names it; it is set here only where a local session leaves it
+unset (as in tests), as no other folder is known to be shared by a cluster.  Tables written
+by a session stay readable until :func:`release` removes them, because lazy results may
+still read them; :func:`scratch` removes those that were needed for one result only.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+_written: dict[str, list[str]] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparsewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -27,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/sparsewell/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
@@ -57,9 +60,25 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table of this session; lazy results on them end here."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, hconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hconf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every scratch table of this session; lazy results on them end here."""
+    _delete(spark, _written.pop(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: tuple[str, ...]) -> Iterator[None]:
+    """Tables made within it go at its end, but for those whose names begin with one of
+    ``keep``.  What is read later must have been saved under such a name."""
+    own = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(own)
+    yield
+    done = [path for path in own[before:] if not path.rsplit("/", 1)[1].startswith(keep)]
+    own[before:] = [path for path in own[before:] if path not in done]
+    _delete(spark, done)

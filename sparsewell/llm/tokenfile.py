@@ -35,6 +35,9 @@ from .store import new_path, saved
 from .wordhash import pieces
 
 MAGIC, BLOCK, PERCENTILE, END_ID = b"PFOR1\0\0\0", 256, 95, 2
+#: Bytes of text in a file: tables below these times the tasks are dealt over all tasks,
+#: larger ones make as many files as they need.
+LEAST_BYTES, MOST_BYTES = 4 << 20, 256 << 20
 #: Tokens of a segment, the unit of reading (whole documents, one at least).
 SEGMENT = 1 << 20
 HEAD, END = struct.Struct("<IBH"), struct.Struct("<QQQQ8s")
@@ -169,12 +172,19 @@ class Reader:
 SEGMENTS = "file string, part int, doc_lo long, doc_hi long, token_lo long, token_hi long"
 
 
+def n_files(docs: DataFrame) -> int:
+    """Files for a table: by its bytes of text, which are summed."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(tasks, -(-size // LEAST_BYTES)), -(-size // MOST_BYTES))
+
+
 def write(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write all documents in ascending doc_id order, a file per range of ids, and return
     the segments: the place of each run of documents, in tokens, over all files."""
     spark = docs.sparkSession
     folder, path = folder or new_path(spark, "tokens"), tokenizer or default_tokenizer()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = n_files(docs)
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
 
@@ -217,12 +227,16 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def read(segments: DataFrame) -> DataFrame:
     """Per document, as read from the files: start (tokens of all before it), n_tokens and
     ids_crc32 over the ids as little-endian unsigned 32-bit integers."""
-    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches):
+        reader, uri = None, None
         for batch in batches:
             for file, lo, hi, base in zip(*(batch.column(c).to_pylist() for c in ("file", "doc_lo", "doc_hi", "base")), strict=True):
-                reader = Reader(file)
+                if file != uri:  # segments come in order of their files
+                    if reader:
+                        reader.close()
+                    reader, uri = Reader(file), file
                 raw = reader.ids(lo, hi).astype("<u4").tobytes()
                 tokens, a = reader.tokens[lo : hi + 1], int(reader.tokens[lo])
                 crc = [zlib.crc32(raw[4 * (x - a) : 4 * (y - a)]) for x, y in zip(tokens[:-1].tolist(), tokens[1:].tolist(), strict=True)]
@@ -230,9 +244,11 @@ def read(segments: DataFrame) -> DataFrame:
                     [pa.array(reader.docs[lo:hi].astype(np.int64), mask=reader.null[lo:hi]), pa.array(base + tokens[:-1]), pa.array(np.diff(tokens)), pa.array(crc, pa.int64())],
                     names=[x.split()[0] for x in READ.split(", ")],
                 )
-                reader.close()
+        if reader:
+            reader.close()
 
-    return segments.select("file", "doc_lo", "doc_hi", "base").repartition(n).mapInArrow(rows, READ)
+    laid = segments.select("file", "doc_lo", "doc_hi", "base").repartitionByRange(tasks, "file", "doc_lo").sortWithinPartitions("file", "doc_lo")
+    return laid.mapInArrow(rows, READ)
 
 
 def op3_token_file(spark, sf_dir: str) -> DataFrame:

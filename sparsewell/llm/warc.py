@@ -2,9 +2,10 @@
 
 Records are grouped into frames that are compressed independently; the file ends with
 the seek table of the Zstandard seekable format (a skippable frame), so any zstd tool
-can read the file and one frame can be read alone.  The index, a table, maps each
-record to its file, frame and offset within the frame.  A payload stored before is not
-stored again: its record is a revisit that names the record that holds it.
+can read the file and one frame can be read alone.  The index, a table, maps each record
+identifier to its file, frame and offset within the frame; :func:`lookup` reads records by
+their identifiers.  Identifiers are unique, also of equal rows.  A payload stored before is
+not stored again: its record is a revisit that names the page and target that hold it.
 
 Defined cases: a null html has an empty payload; payloads below ``MIN_DEDUP`` bytes are
 always responses; rows of the smallest page_id of a group are responses, also if that
@@ -33,26 +34,33 @@ SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
-INDEX_SCHEMA = "page_id long, file string, frame long, offset long, length long"
-READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+INDEX_SCHEMA = "record_id string, page_id long, file string, frame long, offset long, length long"
+READ_SCHEMA = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page_id} {digest}'.encode()).digest()[:16], version=5)}>"
+def record_id(file: str, number: int) -> str:
+    """The identifier of a file's record: file names are unique, so it is."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file} {number}')}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _uri(url: str) -> str:
+    return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
+
+
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """The bytes of one record.  A revisit has the HTTP head of the response, whose length
     is the full payload's, and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
+        lines.append(f"WARC-Target-URI: {_uri(url)}")
     if page_id is not None:
         lines.append(f"WARC-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Date: {DATE}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_uri(refers_url)}")
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -72,9 +80,11 @@ class Writer:
     def __init__(self, folder: str):
         self.out, self.uri = open_new(folder, ".warc.zst")
         self.packer, self.frames, self.held, self.size = zstandard.ZstdCompressor(level=LEVEL), [], [], 0
+        self.n_records = 0
 
     def add(self, data: bytes) -> tuple[int, int]:
         """Frame and offset within it of the record now added."""
+        self.n_records += 1
         if self.held and self.size + len(data) > FRAME_BYTES:
             self.flush()
         at = len(self.frames), self.size
@@ -128,16 +138,16 @@ class Reader:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, refers_to (null: the record is a response).  Groups are
+    """page_id, url, html, digest, refers_to (null: the record is a response), refers_url.  Groups are
     found from digests alone; equal payloads are dealt over ``SALTS`` tasks."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("n", F.octet_length("html"))
-    groups = p.where(F.col("n") >= MIN_DEDUP).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("head"), F.count("*").alias("rows"))
-    groups = groups.where("rows > 1").select("of", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("in"))
+    groups = p.where(F.col("n") >= MIN_DEDUP).groupBy(F.col("digest").alias("of")).agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("head"), F.count("*").alias("rows"))
+    groups = groups.where("rows > 1").select("of", F.col("head.page_id").alias("head"), F.col("head.url").alias("head_url"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("in"))
     p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     p = p.join(groups, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("in")) & (F.col("n") >= MIN_DEDUP), "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("head")), F.col("head"))
-    return p.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    return p.select("page_id", "url", "html", "digest", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("head_url")).alias("refers_url"))
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -148,12 +158,13 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         writer = None
         for batch in batches:
             out: list[tuple] = []
-            for page_id, url, html, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+            for page_id, url, html, digest, refers_to, refers_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "refers_url")), strict=True):
                 writer = writer or Writer(folder)
-                data = record(page_id, url, html.encode(), digest, refers_to)
-                out.append((page_id, writer.uri, *writer.add(data), len(data)))
+                name = record_id(writer.uri.rsplit("/", 1)[1], writer.n_records)
+                data = record(name, page_id, url, html.encode(), digest, refers_to, refers_url)
+                out.append((name, page_id, writer.uri, *writer.add(data), len(data)))
             if out:
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in INDEX_SCHEMA.split(", ")])
         if writer:
             writer.close()
@@ -179,9 +190,9 @@ def read(index: DataFrame) -> DataFrame:
                 digest = hashlib.sha256(payload).hexdigest() if response else fields["WARC-Payload-Digest"].removeprefix("sha256:")
                 size = len(payload) if response else int(http["Content-Length"])
                 number = lambda k: int(fields[k]) if k in fields else None  # noqa: B023, E731
-                out.append((number("WARC-Page-ID"), size, digest, fields["WARC-Type"], number("WARC-Refers-To-Page-ID"), fields.get("WARC-Target-URI")))
+                out.append((fields["WARC-Record-ID"].strip("<>"), number("WARC-Page-ID"), size, digest, fields["WARC-Type"], number("WARC-Refers-To-Page-ID"), fields.get("WARC-Target-URI")))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in READ_SCHEMA.split(", ")])
         if reader:
             reader.close()
@@ -189,6 +200,11 @@ def read(index: DataFrame) -> DataFrame:
     return index.mapInArrow(rows, READ_SCHEMA)
 
 
+def lookup(index: DataFrame, record_ids: list[str]) -> DataFrame:
+    """The records of the given identifiers: only their frames are read."""
+    return read(index.where(F.col("record_id").isin(record_ids)))
+
+
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     index = write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -15,7 +15,7 @@ from comparing import SMALL
 
 from sparsewell.llm import langid, licenses, mixing, quality, queries, warc
 from sparsewell.llm.scripts import SCRIPTS
-from sparsewell.llm.store import release, saved
+from sparsewell.llm.store import release, saved, scratch
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -256,7 +256,7 @@ def test_base_phrases_by_brute_force(spark):
 
 def test_bundle_is_plain_zstd_with_a_seek_table(tmp_path):
     w = warc.Writer(f"file://{tmp_path}")
-    data = [warc.record(i, f"http://h/{i}", f"<p>{i}</p>".encode() * 9000, "0" * 64, None) for i in range(12)]
+    data = [warc.record(f"urn:x:{i}", i, f"http://h/{i}", f"<p>{i}</p>".encode() * 9000, "0" * 64, None) for i in range(12)]
     at = [w.add(d) for d in data]
     w.close()
     raw = open(w.uri.removeprefix("file://"), "rb").read()
@@ -271,9 +271,31 @@ def test_bundle_is_plain_zstd_with_a_seek_table(tmp_path):
     assert payload == b"<p>3</p>" * 9000 and int(http["Content-Length"]) == len(payload) and fields["WARC-Type"] == "response"
 
 
+def test_records_by_their_identifiers(spark):
+    """Equal rows have identifiers of their own; a page longer than many frames is whole."""
+    long = "<p>long page</p>" * 400_000
+    rows = [(1, "u", "x" * 200), (1, "u", "x" * 200), (2, "v", "x" * 200), (3, "w", long), (3, "w", long), (None, None, None)]
+    index = saved(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string")), "index")
+    ids = [r.record_id for r in index.collect()]
+    assert len(set(ids)) == len(rows) and all(x.startswith("urn:uuid:") for x in ids)
+    every = {r.record_id: r for r in warc.read(index).collect()}
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type) for r in every.values()) == [(0, 0, "response"), (1, 200, "response"), (1, 200, "response"), (2, 200, "revisit"), (3, len(long), "response"), (3, len(long), "response")]
+    for x in ids[:3]:
+        assert warc.lookup(index, [x]).collect() == [every[x]]
+
+
 # ---------------------------------------------------------------- scratch tables
 
 
+def test_scratch_of_one_result_goes(spark):
+    with scratch(spark, keep=("kept-",)):
+        gone, kept = saved(spark.range(3), "probe"), saved(spark.range(4), "kept")
+        path = gone.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 4
+    with pytest.raises(FileNotFoundError):
+        open(path)
+
+
 def test_scratch_tables_are_released(spark):
     t = saved(spark.range(3), "probe")
     path = t.inputFiles()[0].removeprefix("file://")
