@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparsewell.llm import decontam, langid, mixing, ngramjoin, tokenfile
-from sparsewell.llm.store import saved
+from sparsewell.llm.store import saved, scratch
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a reliable language go."""
+    """Documents without a reliable language go; ``lang`` is the language found."""
     return langid.identified_documents(docs, langid.learn(docs))
 
 
@@ -19,7 +19,7 @@ def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages go."""
+    """Documents with any benchmark passage go."""
     return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  Outputs of the stages and the token files stay; what a stage
+    wrote on the way goes as soon as its output is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        with scratch(spark, keep=("pipeline-", "tokens-", "token-segments-")):
+            docs = saved(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
     return docs
