@@ -3,6 +3,7 @@
     python -m sparsewell index    --documents docs.parquet --out index_dir
     python -m sparsewell search   --index index_dir --queries queries.parquet --k 100 --out run_dir
     python -m sparsewell evaluate --run run_dir --qrels qrels.tsv --k 10 100
+    python -m sparsewell collection --folder folder --name name --k 10 100
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.encode import text_postings
+from .functions.encode import bm25_postings, term_counts, text_postings
 from .operators import metrics
 from .operators.index import SparseIndex, build_index
-from .plans.retrieve import STRATEGIES, retrieve
+from .plans.retrieve import STRATEGIES, retrieve, retrieve_in_batches
+from .sources.collection import read_collection
 from .sources.qrels import read_qrels, read_run
 from .sources.sinks import write_run
 
@@ -30,7 +32,9 @@ def _index(spark: SparkSession, a: argparse.Namespace) -> None:
 def _search(spark: SparkSession, a: argparse.Namespace) -> None:
     index = SparseIndex(*(spark.read.parquet(f"{a.index}/{part}") for part in ("postings", "documents", "stats")))
     terms = text_postings(spark.read.parquet(a.queries), "query_id", as_key="query_id")
-    write_run(retrieve(terms, index, a.k, a.strategy, max_terms=a.max_terms, prune=a.prune), a.out, a.tag)
+    options = {"strategy": a.strategy, "max_terms": a.max_terms, "prune": a.prune, "alpha": a.alpha}
+    run = retrieve_in_batches(terms, index, a.k, a.batch, f"{a.out}.batches", **options) if a.batch else retrieve(terms, index, a.k, **options)
+    write_run(run, a.out, a.tag)
 
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -40,6 +44,21 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     metrics.evaluate(run, qrels, tuple(a.k), a.gain, a.denominator, run.select(F.col("query_id"))).show(truncate=False)
 
 
+def _collection(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Index a collection's texts, answer its queries and print a row a cut-off."""
+    c = read_collection(spark, a.folder, a.split, a.max_docs)
+    postings = bm25_postings(c.documents) if a.weights == "bm25" else text_postings(c.documents)
+    index = build_index(postings, c.documents.select("doc_id"))
+    if a.weights == "bm25":
+        terms = term_counts(c.queries, "query_id").select("query_id", "term", F.col("tf").cast("float").alias("weight"))
+    else:
+        terms = text_postings(c.queries, "query_id", as_key="query_id")
+    run = retrieve(terms, index, max(a.k), a.strategy, max_terms=a.max_terms)
+    run = metrics.without_repeats(metrics.without_self(run) if a.drop_self else run)
+    rows = metrics.evaluate(run, c.qrels, tuple(a.k), a.gain, a.denominator, c.queries.select("query_id"))
+    rows.select(F.lit(a.name).alias("collection"), "*").show(truncate=False)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="sparsewell", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(required=True)
@@ -55,6 +74,8 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--strategy", choices=STRATEGIES, default="auto")
     c.add_argument("--max-terms", type=int)
     c.add_argument("--prune", choices=("terms", "width"))
+    c.add_argument("--alpha", type=float, default=1.0, help="share of its bound at which blockmax skips a block")
+    c.add_argument("--batch", type=int, help="queries answered at a time")
     c.add_argument("--tag", default="sparsewell")
     c.set_defaults(do=_search)
     c = sub.add_parser("evaluate")
@@ -62,11 +83,24 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--qrels", required=True)
     c.add_argument("--k", type=int, nargs="+", default=[10, 100, 1000])
     c.add_argument("--gain", choices=("linear", "exponential"), default="linear")
-    c.add_argument("--denominator", choices=("judged", "all"), default="judged")
+    c.add_argument("--denominator", choices=("judged", "graded", "all"), default="judged")
     c.add_argument("--drop-self", action="store_true")
     c.set_defaults(do=_evaluate)
+    c = sub.add_parser("collection")
+    c.add_argument("--folder", required=True)
+    c.add_argument("--name", default="collection")
+    c.add_argument("--split", default="test")
+    c.add_argument("--max-docs", type=int)
+    c.add_argument("--weights", choices=("logtf", "bm25"), default="logtf")
+    c.add_argument("--max-terms", type=int)
+    c.add_argument("--strategy", choices=STRATEGIES, default="auto")
+    c.add_argument("--k", type=int, nargs="+", default=[10, 100, 1000])
+    c.add_argument("--gain", choices=("linear", "exponential"), default="linear")
+    c.add_argument("--denominator", choices=("judged", "graded", "all"), default="graded")
+    c.add_argument("--drop-self", action="store_true")
+    c.set_defaults(do=_collection)
     a = p.parse_args(argv)
-    a.do(SparkSession.builder.appName("sparsewell").getOrCreate(), a)
+    a.do(SparkSession.builder.appName("sparsewell").config("spark.sql.optimizer.windowGroupLimitThreshold", "100000").getOrCreate(), a)
 
 
 if __name__ == "__main__":

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,10 +80,7 @@ def bm25_postings(docs: DataFrame, k1: float = 0.9, b: float = 0.4) -> DataFrame
 def model_postings(docs: DataFrame, key: str, text: str, encode: Callable) -> DataFrame:
     """Postings from a neural encoder.  ``encode`` takes a pandas Series of texts and gives a
     Series of {term: weight} dictionaries; it runs on Arrow batches."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("map<string,float>")
+    @F.pandas_udf("map<string,float>")
     def run(texts: pd.Series) -> pd.Series:
         return encode(texts)
 

@@ -62,7 +62,7 @@ def term_stats(postings: DataFrame, term: str = "term") -> DataFrame:
     )
 
 
-def _running(stats: DataFrame, term: str, value, name: str) -> DataFrame:
+def running(stats: DataFrame, term: str, value, name: str) -> DataFrame:
     """stats with the sum of ``value`` over all terms before.  In two levels, so that no task
     sees the whole vocabulary: over ranges of terms, then within each."""
     kind = stats.schema[term].dataType.typeName()
@@ -78,23 +78,24 @@ def _running(stats: DataFrame, term: str, value, name: str) -> DataFrame:
 
 def term_ids(stats: DataFrame, term: str = "term") -> DataFrame:
     """stats with term_id, the place of the term in order."""
-    return _running(stats, term, F.lit(1), "term_id")
+    return running(stats, term, F.lit(1), "term_id")
 
 
 def offsets(stats: DataFrame, term: str = "term") -> DataFrame:
     """stats with offset, where the padded list of the term begins."""
-    return _running(stats, term, F.col("padded"), "offset")
+    return running(stats, term, F.col("padded"), "offset")
 
 
 def memory(stats: DataFrame) -> DataFrame:
-    """One row: postings, padded, megabytes of 4-byte ids and weights and of the per-term
-    table (8 + 4 + 4 + 4 bytes), and the share of padding."""
-    mb = lambda x: F.round(x.cast("double") / F.lit(1048576.0).cast("double"), 6)
+    """One row: postings, padded, megabytes (of 1,000,000 bytes) of 4-byte ids and weights, of
+    the per-term table (8 + 4 + 4 + 4 bytes) and of all, and the share of padding."""
+    mb = lambda x: F.round(x.cast("double") / F.lit(1e6).cast("double"), 6)
     s = stats.agg(F.sum("length").alias("postings"), F.sum("padded").alias("padded"), F.count("*").alias("terms"))
     total, kept = F.col("padded").cast("double"), F.col("postings").cast("double")
     return s.select(
         "postings", "padded", "terms",
         mb(F.col("padded") * 4).alias("ids_mb"), mb(F.col("padded") * 4).alias("weights_mb"), mb(F.col("terms") * 20).alias("meta_mb"),
+        mb(F.col("padded") * 8 + F.col("terms") * 20).alias("total_mb"),
         F.round(1 - kept / total, 6).alias("overhead"), F.round((total - kept) / kept, 6).alias("overhead_of_kept"),
         F.round(kept / F.col("terms"), 6).alias("avg_length"),
     )

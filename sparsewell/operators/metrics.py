@@ -1,7 +1,7 @@
 """Evaluation of rankings.
 
-``denominator``: ``judged`` divides by queries with a positive judgement, ``all`` by the
-queries given.  Relevant means relevance > 0; negative grades gain nothing.
+``denominator``: ``judged`` divides by queries with a positive judgement, ``graded`` by those
+with any judgement, ``all`` by the queries given.  Relevant means relevance > 0; negative grades gain nothing.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ def positives(qrels: DataFrame) -> DataFrame:
 def _queries(qrels: DataFrame, denominator: str, queries: DataFrame | None) -> DataFrame:
     if denominator == "judged":
         return positives(qrels).select("query_id").distinct()
+    if denominator == "graded":
+        return qrels.select("query_id").distinct()
     if denominator == "all" and queries is not None:
         return queries.select("query_id").distinct()
-    raise ValueError("denominator is judged, or all with the queries")
+    raise ValueError("denominator is judged, graded, or all with the queries")
 
 
 def _mean(per_query: DataFrame, value: str, qrels: DataFrame, denominator: str, queries: DataFrame | None) -> DataFrame:
@@ -52,7 +54,7 @@ def mrr(run: DataFrame, qrels: DataFrame, k: int = 10, denominator: str = "judge
 def ndcg_per_query(run: DataFrame, qrels: DataFrame, k: int = 10, gain: str = "linear") -> DataFrame:
     """query_id, ndcg for queries with a positive judgement.  gain: ``linear`` (the grade) or
     ``exponential`` (2**grade - 1)."""
-    worth = (lambda c: c.cast("double")) if gain == "linear" else (lambda c: F.pow(_d(2), c.cast("double")) - 1)
+    worth = _worth(gain)
     rel = positives(qrels)
     term = lambda rank: worth(F.col("relevance")) / F.log2(F.col(rank).cast("double") + 1)
     dcg = run.where(F.col("rank") <= k).join(rel, ["query_id", "doc_id"]).groupBy("query_id").agg(F.sum(term("rank")).alias("dcg"))
@@ -73,16 +75,58 @@ def recall(run: DataFrame, qrels: DataFrame, k: int = 100, denominator: str = "j
     return _mean(per, "recall", qrels, denominator, queries)
 
 
-def evaluate(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (10, 100), gain: str = "linear", denominator: str = "judged", queries: DataFrame | None = None) -> DataFrame:
-    """A row per cut-off: k, mrr, ndcg, recall, n_queries."""
-    out = None
-    for k in ks:
-        a = mrr(run, qrels, k, denominator, queries)
-        b = ndcg(run, qrels, k, gain, denominator, queries).drop("n_queries")
-        c = recall(run, qrels, k, denominator, queries).drop("n_queries")
-        row = a.crossJoin(b).crossJoin(c).select(F.lit(k).cast("long").alias("k"), "mrr", "ndcg", "recall", "n_queries")  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+def without_repeats(run: DataFrame) -> DataFrame:
+    """run, but reading it fails if a query ranks a document twice, as gains would count
+    twice; :func:`deduplicated` mends such a run."""
+    n = F.count("*").over(W.partitionBy("query_id", "doc_id"))
+    ok = F.assert_true(F.col("_n") == 1, F.lit("a query ranks a document twice")).isNull()
+    return run.withColumn("_n", n).where(ok).drop("_n")
+
+
+def relevant_counts(qrels: DataFrame) -> DataFrame:
+    """query_id, relevance, n: documents of each positive grade."""
+    return positives(qrels).groupBy("query_id", "relevance").agg(F.count("*").alias("n"))
+
+
+def _worth(gain: str):
+    return (lambda c: c.cast("double")) if gain == "linear" else (lambda c: F.pow(_d(2), c.cast("double")) - 1)
+
+
+def evaluate(
+    run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (10, 100), gain: str = "linear", denominator: str = "judged", queries: DataFrame | None = None, counts: DataFrame | None = None
+) -> DataFrame:
+    """A row per cut-off: k, mrr, ndcg, recall, n_queries.  The ranking is joined with the
+    judgements once, for all metrics and cut-offs.  counts: :func:`relevant_counts`, if known;
+    qrels then need only hold pairs that may be ranked."""
+    worth, top = _worth(gain), max(ks)
+    counts = relevant_counts(qrels) if counts is None else counts
+    log = lambda c: F.log2(c.cast("double") + 1)
+    hits = run.where(F.col("rank") <= top).join(positives(qrels), ["query_id", "doc_id"])
+    by_pair = [F.min("rank").alias("first"), *(F.sum(F.when(F.col("rank") <= k, worth(F.col("relevance")) / log(F.col("rank")))).alias(f"d{k}") for k in ks)]
+    pairs = hits.groupBy("query_id", "doc_id").agg(*by_pair)
+    per = pairs.groupBy("query_id").agg(
+        F.min("first").alias("first"), *(F.sum(f"d{k}").alias(f"dcg{k}") for k in ks), *(F.count_if(F.col("first") <= k).alias(f"m{k}") for k in ks)
+    )
+    # the ideal ranking from numbers of documents by grade: no more than top places a query
+    of = W.partitionBy("query_id").orderBy(F.col("relevance").desc())
+    places = counts.withColumn("hi", F.sum("n").over(of)).withColumn("lo", F.col("hi") - F.col("n"))
+    n = places.groupBy("query_id").agg(F.sum("n").alias("n"))
+    places = places.where(F.col("lo") < top).select("query_id", "relevance", F.explode(F.sequence(F.col("lo") + 1, F.least("hi", F.lit(top).cast("long")))).alias("place"))
+    ideal = places.groupBy("query_id").agg(*(F.sum(F.when(F.col("place") <= k, worth(F.col("relevance")) / log(F.col("place")))).alias(f"ideal{k}") for k in ks))
+    known = n.join(ideal, "query_id").join(per, "query_id", "left")
+    every = known if denominator == "judged" else _queries(qrels, denominator, queries).join(known, "query_id", "left")
+    zero = lambda c: F.round(F.avg(F.coalesce(c, _d(0))), 6)
+    rows = F.array(*(
+        F.struct(
+            F.lit(k).cast("long").alias("k"),
+            zero(F.when(F.col("first") <= k, _d(1) / F.col("first"))).alias("mrr"),
+            zero(F.col(f"dcg{k}") / F.col(f"ideal{k}")).alias("ndcg"),
+            zero(F.col(f"m{k}").cast("double") / F.col("n")).alias("recall"),
+            F.count("*").alias("n_queries"),
+        )
+        for k in ks
+    ))
+    return every.agg(rows.alias("rows")).select(F.inline("rows"))
 
 
 def without_self(run: DataFrame) -> DataFrame:

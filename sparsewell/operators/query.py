@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .index import running
+from .score import not_negative
+
 
 def truncated(queries: DataFrame, max_terms: int | None, term: str = "term") -> DataFrame:
     """The ``max_terms`` heaviest terms of each query (ties: smallest term); None keeps all,
@@ -31,10 +34,12 @@ def width_stats(queries: DataFrame, max_terms: int) -> DataFrame:
 
 
 def upper_bounds(queries: DataFrame, stats: DataFrame, term: str = "term") -> DataFrame:
-    """queries with ub, the most a term can add to a score; 0 for terms without postings."""
+    """queries with ub, the most a term can add to a score; 0 for terms without postings.
+    Negative weights, which would make it no bound, are refused."""
     s = stats.select(F.col(term).alias("_t"), "max_weight")
     q = queries.join(s, F.col(term) == F.col("_t"), "left").drop("_t")
-    return q.withColumn("ub", (F.col("weight") * F.coalesce("max_weight", F.lit(0.0).cast("float"))).cast("double")).drop("max_weight")
+    most = F.coalesce("max_weight", F.lit(0.0).cast("float"))
+    return q.withColumn("ub", (not_negative(F.col("weight")) * not_negative(most)).cast("double")).drop("max_weight")
 
 
 def _strongest(bounded: DataFrame, keep, term: str) -> DataFrame:
@@ -62,7 +67,7 @@ def prune_by_bound(queries: DataFrame, stats: DataFrame, threshold: float, share
 
 
 def batches(queries: DataFrame, size: int) -> DataFrame:
-    """queries with batch, numbering runs of ``size`` queries by query_id."""
-    ids = queries.select("query_id").distinct()
-    ids = ids.withColumn("batch", F.floor((F.row_number().over(W.orderBy("query_id")) - 1) / size).cast("long"))
-    return queries.join(ids, "query_id")
+    """queries with batch, numbering runs of ``size`` queries by query_id (a number); no task
+    sees all of them."""
+    ids = running(queries.select("query_id").distinct(), "query_id", F.lit(1), "place")
+    return queries.join(ids.select("query_id", F.floor(F.col("place") / size).cast("long").alias("batch")), "query_id")

@@ -8,15 +8,17 @@ All strategies return the same rows.  They differ in layout:
   sums their scores alone; only each task's k best per query are exchanged.
 * ``queryparallel``: products meet by query at once, one exchange; for many more queries
   than tasks.
-* ``chunked`` and ``sharded``: the k best of every range of documents, then of those.
-* ``compacted``: the k-th best score after the first range bounds what other ranges
-  send on (only valid for non-negative weights).
+* ``chunked`` and ``sharded``: postings dealt by ranges of documents; a task sums and ranks
+  its ranges alone, and only the k best of each are exchanged.
+* ``compacted``: the k-th best score of the first range bounds what other ranges send on
+  (negative weights are refused).
 * ``dense``: products of dense vectors, the oracle for small data.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .topk import top_k
@@ -32,6 +34,11 @@ def small(queries: DataFrame, n_terms: int | None = None) -> DataFrame:
     return F.broadcast(queries) if n * BYTES_PER_TERM <= BROADCAST_BYTES else queries
 
 
+def not_negative(weight):
+    """The weight; reading a negative one fails, as bounds would not hold."""
+    return F.when(weight < 0, F.raise_error(F.lit("weights must not be negative")).cast("float")).otherwise(weight)
+
+
 def products(queries: DataFrame, postings: DataFrame, term: str = "term") -> DataFrame:
     """query_id, doc_id, part: a row per shared term.  Unknown terms join nothing; equal
     (document, term) rows add up later."""
@@ -73,11 +80,20 @@ def with_chunk(df: DataFrame, chunk: int, doc: str = "doc_id") -> DataFrame:
     return df.withColumn("chunk", F.floor(F.col(doc) / chunk).cast("long"))
 
 
+def _by_chunk(queries: DataFrame, postings: DataFrame, k: int, chunk: int, term: str) -> DataFrame:
+    """query_id, doc_id, score, chunk: the k best of every range of documents."""
+    laid = with_chunk(postings, chunk)
+    laid = laid.repartition(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    total = F.round(F.sum("part").cast("double"), 6).alias("score")
+    s = products(queries, laid, term).groupBy("chunk", "query_id", "doc_id").agg(total).where("score <> 0")
+    order = W.partitionBy("chunk", "query_id").orderBy(F.col("score").desc(), "doc_id")
+    return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
 def chunked(queries: DataFrame, postings: DataFrame, k: int, chunk: int, term: str = "term") -> DataFrame:
-    """Memory of a task is bounded by the queries times a chunk, whatever the corpus."""
-    s = with_chunk(scores(queries, postings, term).where("score <> 0"), chunk)
-    s = s.withColumn("cell", F.struct("query_id", "chunk"))
-    return top_k(top_k(s, k, by="cell").drop("rank", "cell", "chunk"), k)
+    """A task holds the scores of its ranges of documents, whatever the corpus: postings are
+    dealt by range before anything is summed, and sums and rankings then need no exchange."""
+    return top_k(_by_chunk(queries, postings, k, chunk, term).drop("chunk"), k)
 
 
 def sharded(queries: DataFrame, postings: DataFrame, k: int, n_docs: int, shards: int = 2, term: str = "term") -> DataFrame:
@@ -86,14 +102,15 @@ def sharded(queries: DataFrame, postings: DataFrame, k: int, n_docs: int, shards
 
 
 def compacted(queries: DataFrame, postings: DataFrame, k: int, chunk: int, term: str = "term") -> DataFrame:
-    """Rows of later chunks stay only if they reach tau, the k-th best score of the first
-    chunk (``>=``, so ties stay).  Weights must not be negative."""
-    s = with_chunk(scores(queries, postings, term).where("score <> 0"), chunk)
-    first = s.agg(F.min("chunk").alias("first"))  # one row
-    s = s.crossJoin(F.broadcast(first))
-    tau = thresholds(s.where("chunk = first"), k)
-    kept = s.join(tau, "query_id", "left").where("chunk = first or tau is null or score >= tau")
-    return top_k(kept.drop("tau", "chunk", "first"), k)
+    """The first range of documents is scored alone.  Rows of others stay only if they reach
+    tau, the k-th best score there (``>=``, so ties stay).  Weights must not be negative."""
+    q = queries.withColumn("weight", not_negative(F.col("weight")))
+    p = with_chunk(postings.withColumn("weight", not_negative(F.col("weight"))), chunk)
+    p = p.crossJoin(F.broadcast(p.agg(F.min("chunk").alias("least"))))  # one row
+    head = scores(q, p.where("chunk = least"), term).where("score <> 0")
+    rest = scores(q, p.where("chunk > least"), term).where("score <> 0")
+    kept = rest.join(thresholds(head, k), "query_id", "left").where("tau is null or score >= tau").drop("tau")
+    return top_k(head.unionByName(kept), k)
 
 
 def thresholds(s: DataFrame, k: int) -> DataFrame:
@@ -127,10 +144,18 @@ def padded(run: DataFrame, queries: DataFrame, documents: DataFrame, k: int) ->
     return top_k(run.select("query_id", "doc_id", "score").unionByName(fill), k)
 
 
-def dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, dense) against (doc_id, dense): every pair, for checks on small data."""
+#: Pairs that the dense product may make.
+DENSE_PAIRS = 1 << 30
+
+
+def dense(queries: DataFrame, docs: DataFrame, k: int, max_pairs: int = DENSE_PAIRS) -> DataFrame:
+    """(query_id, dense) against (doc_id, dense): every pair, for checks on small data;
+    raises if there are more than max_pairs."""
+    n, m = queries.count(), docs.count()
+    if n * m > max_pairs:
+        raise ValueError(f"{n} x {m} pairs are too many for the dense product; use sparse vectors")
     q = queries.select("query_id", F.col("dense").alias("x"))
-    pairs = docs.select("doc_id", F.col("dense").alias("y")).crossJoin(small(q))
+    pairs = docs.select("doc_id", F.col("dense").alias("y")).crossJoin(small(q, n * 16))
     dot = F.aggregate(F.zip_with("x", "y", lambda a, b: (a * b).cast("float")), F.lit(0.0).cast("double"), lambda s, v: s + v)
     s = pairs.select("query_id", "doc_id", F.round(dot, 6).alias("score"))
     return top_k(s.where("score <> 0"), k)

@@ -14,12 +14,9 @@ def ranked(scores: DataFrame, by: str = "query_id", item: str = "doc_id", score:
 
 def top_k(scores: DataFrame, k: int, by: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best per query with their rank.  The limit on the rank lets Spark keep k rows
-    per query in each task before the exchange, up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold``; for a larger k that is raised."""
-    spark = scores.sparkSession
-    name = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if k > int(spark.conf.get(name, "1000")):
-        spark.conf.set(name, str(k))
+    per query in each task before the exchange, if k is not above the session's
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 unless set); results are the same
+    either way, and the setting is left to the session's owner."""
     out = ranked(scores, by, item, score).where(F.col("rank") <= k)
     return out.withColumn("rank", F.col("rank").cast("long"))
 

@@ -26,17 +26,23 @@ class Tables:
     def qrels(self) -> DataFrame:
         """Graded: a document that contains the passage has 1 plus its quality label.  All but
         the first and last token of a passage are whole tokens of such a document, so the
-        longest of them finds the candidates; passages without one are looked for everywhere."""
+        longest of them finds the candidates; ids alone are joined, texts last.  Passages
+        without one, which are few words long, are looked for in every document, in one scan."""
         d = self.documents.select("doc_id", F.col("text").alias("body"))
         b = self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
         words = tokens("passage")
         inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
         b = b.withColumn("key", F.array_max(inner)["t"])
         terms = d.select("doc_id", F.explode(F.array_distinct(tokens("body"))).alias("key"))
-        near = terms.join(b.where("key is not null").select("key", "query_id"), "key").select("doc_id", "query_id")
-        hit = d.join(near, "doc_id").join(b.drop("key"), "query_id").where(F.contains("body", "passage")).select("query_id", "doc_id")
-        rest = d.join(b.where("key is null"), F.contains("body", "passage")).select("query_id", "doc_id")
-        hit = hit.unionByName(rest).join(self.labels.select("doc_id", "quality"), "doc_id", "left")
+        near = terms.join(b.where("key is not null").select("key", "query_id"), "key").groupBy("doc_id").agg(F.collect_set("query_id").alias("of"))
+        near = d.join(near, "doc_id").select("doc_id", "body", F.explode("of").alias("query_id"))
+        hit = near.join(b.drop("key"), "query_id").where(F.contains("body", "passage")).select("query_id", "doc_id")
+        short = b.where("key is null and passage is not null").select("query_id", "passage").collect()  # of the stated queries
+        for at in range(0, len(short), 1000):
+            items = F.array(*(F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.passage).alias("passage")) for r in short[at : at + 1000]))
+            found = d.select("doc_id", F.explode(F.filter(items, lambda x: F.contains(F.col("body"), x["passage"]))).alias("x"))
+            hit = hit.unionByName(found.select("x.query_id", "doc_id"))
+        hit = hit.join(self.labels.select("doc_id", "quality"), "doc_id", "left")
         return hit.select("query_id", "doc_id", (F.coalesce("quality", F.lit(0)) + 1).cast("long").alias("relevance"))
 
     # vectors: every vector is a query too
@@ -46,6 +52,18 @@ class Tables:
     def vector_queries(self) -> DataFrame:
         return self.vector_postings().withColumnRenamed("doc_id", "query_id")
 
+    def class_judged(self, run: DataFrame) -> DataFrame:
+        """Of all pairs of a class, those that are ranked: no class is joined with itself."""
+        label = lambda k: self.embeddings.select(F.col("vec_id").alias(k), F.col("label").alias(f"{k}_label"))
+        pairs = run.select("query_id", "doc_id").where("query_id <> doc_id").join(label("query_id"), "query_id").join(label("doc_id"), "doc_id")
+        return pairs.where("query_id_label = doc_id_label").select("query_id", "doc_id", F.lit(1).cast("long").alias("relevance"))
+
+    def class_counts(self) -> DataFrame:
+        """query_id, relevance, n: the others of each vector's class."""
+        e = self.embeddings.select(F.col("vec_id").alias("query_id"), "label")
+        n = e.groupBy("label").agg((F.count("*") - 1).alias("n")).where("n > 0")
+        return e.join(n, "label").select("query_id", F.lit(1).cast("long").alias("relevance"), "n")
+
     def class_qrels(self) -> DataFrame:
         a = self.embeddings.select(F.col("vec_id").alias("query_id"), "label")
         b = self.embeddings.select(F.col("vec_id").alias("doc_id"), "label")

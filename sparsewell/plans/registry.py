@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encode, text
 from ..operators import index, metrics, profile, query, score
+from ..operators.blockmax import blockmax
 from ..operators.topk import merge, top_k
 from ..sources import qrels as qrels_source
 from ..sources import sinks, synthetic, vectors
@@ -76,16 +77,57 @@ def compacted_topk(t):
     return score.compacted(t.queries(), t.postings(), K, CHUNK).select(*RUN)
 
 
+@registered(S.q(VECTOR, VTOP))
+def blockmax_topk(t):
+    """Blocks of vectors whose bound is below the k-th best score so far are skipped; exact."""
+    return blockmax(t.vector_queries(), t.vector_postings(), K, VCHUNK).select(*RUN)
+
+
+ALPHA = 0.8
+
+
+@registered(
+    S.q(
+        ("vx", "vp", "vq", "vs"),
+        f"SELECT {RUN_COLUMNS} FROM ({S.top('kept')})",
+        bm=f"SELECT CAST(floor(doc_id / {VCHUNK}) AS BIGINT) AS chunk, term, max(weight) AS weight FROM vp GROUP BY ALL",
+        bb="SELECT query_id, chunk, sum(CAST(vq.weight * bm.weight AS DOUBLE)) AS bound FROM vq JOIN bm USING (term) GROUP BY ALL",
+        bp="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, chunk) AS place FROM bb",
+        sc=f"SELECT vs.*, CAST(floor(doc_id / {VCHUNK}) AS BIGINT) AS chunk FROM vs",
+        tau=f"SELECT query_id, min(score) AS tau FROM (SELECT sc.query_id, score, row_number() OVER (PARTITION BY sc.query_id ORDER BY score DESC, doc_id) AS n FROM sc JOIN bp USING (query_id, chunk) WHERE place = 1) WHERE n <= {K} GROUP BY query_id HAVING count(*) = {K}",
+        kept=f"SELECT query_id, doc_id, score FROM sc JOIN bp USING (query_id, chunk) LEFT JOIN tau USING (query_id) WHERE place = 1 OR tau IS NULL OR bound * CAST({ALPHA} AS DOUBLE) + CAST(1e-6 AS DOUBLE) >= tau",
+    )
+)
+def blockmax_alpha_topk(t):
+    """The same with bounds taken at 0.8 of their height: more blocks are skipped."""
+    return blockmax(t.vector_queries(), t.vector_postings(), K, VCHUNK, ALPHA).select(*RUN)
+
+
 @registered(S.q(TEXT, TOP))
 def queryparallel_topk(t):
     return score.queryparallel(t.queries(), t.postings(), K).select(*RUN)
 
 
-@registered(S.q((), "SELECT CAST(c AS BIGINT) AS chunk, CAST(1 AS DOUBLE) AS overlap FROM (VALUES (32), (64), (128), (512)) v(c)"))
+def _chunked_sql(chunk: int) -> str:
+    """The k best of each range of documents, then of these."""
+    best = f"SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, CAST(floor(doc_id / {chunk}) AS BIGINT) ORDER BY score DESC, doc_id) AS n FROM vs) WHERE n <= {K}"
+    return S.top(f"({best})")
+
+
+CHUNKS = (32, 64, 128, 512)
+
+
+@registered(
+    S.q(
+        VECTOR,
+        " UNION ALL ".join(f"SELECT CAST({c} AS BIGINT) AS chunk, round(avg(m), 6) AS overlap FROM (SELECT vrun.query_id, CAST(count(c{c}.doc_id) AS DOUBLE) / {K} AS m FROM vrun LEFT JOIN c{c} USING (query_id, doc_id) GROUP BY vrun.query_id)" for c in CHUNKS),
+        **{f"c{c}": _chunked_sql(c) for c in CHUNKS},
+    )
+)
 def chunk_size_sweep(t):
     """The chunk size changes no ranking: overlap with the whole one, by size."""
     p, q, out = score.by_document(t.vector_postings()), t.vector_queries(), None
-    for chunk in (32, 64, 128, 512):
+    for chunk in CHUNKS:
         o = metrics.overlap(score.scatter(q, p, K), score.chunked(q, p, K, chunk), K).select(F.lit(chunk).cast("long").alias("chunk"), "overlap")
         out = o if out is None else out.unionByName(o)
     return out
@@ -329,13 +371,13 @@ def index_offsets(t):
     return index.term_ids(index.offsets(index.term_stats(t.postings())))
 
 
-MB = "round(CAST({} AS DOUBLE) / CAST(1048576 AS DOUBLE), 6)"
+MB = "round(CAST({} AS DOUBLE) / CAST(1000000 AS DOUBLE), 6)"
 
 
 @registered(
     S.q(
         STATS,
-        f"SELECT CAST(p AS BIGINT) AS postings, CAST(a AS BIGINT) AS padded, terms, {MB.format('a * 4')} AS ids_mb, {MB.format('a * 4')} AS weights_mb, {MB.format('terms * 20')} AS meta_mb, round(1 - CAST(p AS DOUBLE) / a, 6) AS overhead, round((CAST(a AS DOUBLE) - p) / p, 6) AS overhead_of_kept, round(CAST(p AS DOUBLE) / terms, 6) AS avg_length FROM m",
+        f"SELECT CAST(p AS BIGINT) AS postings, CAST(a AS BIGINT) AS padded, terms, {MB.format('a * 4')} AS ids_mb, {MB.format('a * 4')} AS weights_mb, {MB.format('terms * 20')} AS meta_mb, {MB.format('a * 8 + terms * 20')} AS total_mb, round(1 - CAST(p AS DOUBLE) / a, 6) AS overhead, round((CAST(a AS DOUBLE) - p) / p, 6) AS overhead_of_kept, round(CAST(p AS DOUBLE) / terms, 6) AS avg_length FROM m",
         m="SELECT sum(length) AS p, sum(padded) AS a, count(*) AS terms FROM ts",
     )
 )
@@ -439,6 +481,36 @@ def recall_at_k(t):
     return metrics.recall(_run(t, 100), t.qrels(), 100)
 
 
+@registered(S.q(EVAL, S.mean_metric("recall", S.recall_sql("run100", "rel", 100), ALL)))
+def recall_all(t):
+    """Recall over all queries given, those without a judgement at 0."""
+    return metrics.recall(_run(t, 100), t.qrels(), 100, "all", t.queries())
+
+
+GRADED = "SELECT query_id, doc_id, relevance - 1 AS relevance FROM rel"
+
+
+@registered(S.q(EVAL, S.mean_metric("ndcg", S.ndcg_sql("run", "rel0", K, "linear"), "SELECT DISTINCT query_id FROM rel0"), rel0=GRADED))
+def ndcg_graded(t):
+    """Over queries with any judgement: those of which all grades are 0 count as 0."""
+    graded = t.qrels().withColumn("relevance", F.col("relevance") - 1)
+    return metrics.ndcg(metrics.without_repeats(_run(t)), graded, K, denominator="graded")
+
+
+@registered(
+    S.q(
+        EVAL,
+        " UNION ALL ".join(
+            f"SELECT CAST({k} AS BIGINT) AS k, mrr, ndcg, recall, m.n_queries FROM ({S.mean_metric('mrr', S.mrr_sql('run100', 'rel', k), ALL)}) m CROSS JOIN ({S.mean_metric('ndcg', S.ndcg_sql('run100', 'rel', k, 'exponential'), ALL)}) n CROSS JOIN ({S.mean_metric('recall', S.recall_sql('run100', 'rel', k), ALL)}) r"
+            for k in (1, 10, 100)
+        ),
+    )
+)
+def evaluate_all(t):
+    """All metrics at three cut-offs over all queries, from one ranking."""
+    return metrics.evaluate(_run(t, 100), t.qrels(), (1, 10, 100), "exponential", "all", t.queries())
+
+
 BUNDLE = "SELECT CAST({k} AS BIGINT) AS k, mrr, ndcg, recall, m.n_queries FROM ({a}) m CROSS JOIN ({b}) n CROSS JOIN ({c}) r"
 
 
@@ -454,7 +526,8 @@ BUNDLE = "SELECT CAST({k} AS BIGINT) AS k, mrr, ndcg, recall, m.n_queries FROM (
 )
 def evaluate_classes(t):
     """All metrics of nearest vectors against their classes, the vector itself left out."""
-    return metrics.evaluate(metrics.without_self(_vector_run(t)), t.class_qrels(), (5, 10))
+    run = metrics.without_self(_vector_run(t))
+    return metrics.evaluate(run, t.class_judged(run), (5, 10), counts=t.class_counts())
 
 
 @registered(S.q(VECTOR, "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS rank FROM vrun WHERE doc_id <> query_id"))
@@ -501,7 +574,13 @@ def score_diff(t):
     return metrics.score_difference(*_exact_and_pruned(t))
 
 
-@registered(S.q((), "SELECT CAST(0 AS BIGINT) AS different_rows, true AS identical"))
+@registered(
+    S.q(
+        VECTOR,
+        "SELECT count(*) AS different_rows, count(*) = 0 AS identical FROM ((SELECT query_id, doc_id, score, rank FROM vrun EXCEPT SELECT query_id, doc_id, score, rank FROM cr) UNION ALL (SELECT query_id, doc_id, score, rank FROM cr EXCEPT SELECT query_id, doc_id, score, rank FROM vrun))",
+        cr=_chunked_sql(VCHUNK),
+    )
+)
 def strategies_identical(t):
     """The document-clustered and the chunked ranking of vectors have the same rows."""
     return metrics.identical(_vector_run(t), score.chunked(t.vector_queries(), t.vector_postings(), K, VCHUNK).select(*RUN))
@@ -540,7 +619,7 @@ def dedupe_docs(t):
 )
 def judged_filler_subset(t):
     """All judged documents, filled up with others to 100."""
-    rel = t.qrels().cache()
+    rel = t.qrels()
     d = vectors.judged_and_filler(t.documents.select("doc_id"), rel, 100)
     return d.join(rel.select("doc_id", F.lit(True).alias("judged")).distinct(), "doc_id", "left").select("doc_id", F.coalesce("judged", F.lit(False)).alias("judged"))
 
@@ -622,27 +701,69 @@ def synthetic_distinct(t):
     return synthetic.documents(t.spark, N_SYNTH, 50, V_SYNTH, zipf=None, duplicates=False)
 
 
-@registered()
+TERM = f"CAST(floor({_draw(44, 'doc_id', 'j')} * {V_SYNTH}) AS BIGINT)"
+
+
+def _zipf(u: str) -> str:
+    top = 1.0 - float(V_SYNTH) ** -0.5
+    return f"least(CAST(floor(pow(CAST(1 AS DOUBLE) - {u} * CAST({top!r} AS DOUBLE), CAST(-2 AS DOUBLE))) AS BIGINT) - 1, {V_SYNTH - 1})"
+
+
+@registered(UNIFORM.replace(TERM, _zipf(_draw(44, "doc_id", "j"))))
 def synthetic_zipf(t):
-    """Power-law terms; powers differ in the last bit between engines, so there is no SQL."""
+    """Power-law terms."""
     return synthetic.documents(t.spark, N_SYNTH, 50, V_SYNTH)
 
 
-@registered()
+EXPONENTIAL = UNIFORM.replace("greatest(10,", "greatest(5,").replace(
+    f"CAST(CAST(0.1 AS DOUBLE) + {_draw(45, 'doc_id', 'j')} * CAST(2.9 AS DOUBLE) AS FLOAT)",
+    f"CAST(ln(CAST(1 AS DOUBLE) - ln(CAST(1 AS DOUBLE) - {_draw(45, 'doc_id', 'j')})) AS FLOAT)",
+)
+
+
+@registered(f"WITH z AS ({EXPONENTIAL}) SELECT doc_id, term, round(CAST(max(weight) AS DOUBLE), 5) AS weight FROM z GROUP BY ALL")
 def synthetic_exponential(t):
-    return synthetic.documents(t.spark, N_SYNTH, 50, V_SYNTH, minimum=5, zipf=None, duplicates=False, exponential=1.0)
+    """Weights log(1 + x) of exponential x, rounded, as logarithms differ between engines."""
+    x = synthetic.documents(t.spark, N_SYNTH, 50, V_SYNTH, minimum=5, zipf=None, duplicates=False, exponential=1.0)
+    return x.withColumn("weight", F.round(F.col("weight").cast("double"), 5))
+
+
+@registered(
+    f"""
+WITH d AS (SELECT i AS doc_id, CAST(floor({_draw(42, 'i')} * {V_SYNTH}) AS BIGINT) AS a, CAST(floor({_draw(43, 'i')} * {V_SYNTH - 1}) AS BIGINT) + 1 AS b FROM range({N_SYNTH}) r(i)),
+x AS (SELECT *, unnest(range(1, 51)) AS j FROM d)
+SELECT doc_id, (a + j * b) % {V_SYNTH} AS term, CAST(CAST(0.1 AS DOUBLE) + {_draw(45, 'doc_id', 'j')} * CAST(2.9 AS DOUBLE) AS FLOAT) AS weight FROM x
+"""
+)
+def synthetic_exact(t):
+    """Fifty different terms a document, without replacement; the vocabulary is prime."""
+    return synthetic.exact_documents(t.spark, N_SYNTH, 50, V_SYNTH)
 
 
-@registered()
+@registered(
+    f"""
+WITH q AS (SELECT i AS query_id, least(64, greatest(5, CAST(floor({_draw(99, 'i')} * 60) AS BIGINT))) AS n FROM range(50) r(i)),
+x AS (SELECT query_id, unnest(range(1, n + 1)) AS j FROM q)
+SELECT query_id, {_zipf(_draw(101, 'query_id', 'j'))} AS term, max(CAST(CAST(0.1 AS DOUBLE) + {_draw(102, 'query_id', 'j')} * CAST(2.9 AS DOUBLE) AS FLOAT)) AS weight FROM x GROUP BY ALL
+"""
+)
 def synthetic_queries(t):
     return synthetic.queries(t.spark, 50, V_SYNTH)
 
 
-@registered()
+def _filled(patterns: tuple[str, ...], seed: int) -> str:
+    pick = lambda items, s: f"[{', '.join(repr(x) for x in items)}][CAST(floor({_draw(s, 'i')} * {len(items)}) AS BIGINT) + 1]"
+    out = pick(patterns, seed)
+    for k, (name, items) in enumerate((("{topic}", synthetic.TOPICS), ("{verb}", synthetic.VERBS), ("{adjective}", synthetic.ADJECTIVES))):
+        out = f"replace({out}, '{name}', {pick(items, seed + 1 + k)})"
+    return out
+
+
+@registered(f"SELECT i AS doc_id, concat(upper(left(x, 1)), lower(substring(x, 2))) AS text FROM (SELECT i, {_filled(synthetic.SENTENCES, 7)} AS x FROM range({N_SYNTH}) r(i))")
 def synthetic_passages(t):
     return synthetic.passages(t.spark, N_SYNTH)
 
 
-@registered()
+@registered(f"SELECT i AS query_id, {_filled(synthetic.QUESTIONS, 17)} AS text FROM range(50) r(i)")
 def synthetic_questions(t):
     return synthetic.questions(t.spark, 50)

@@ -16,7 +16,7 @@ TOPICS = ("machine learning", "information retrieval", "data systems", "climate
 VERBS = ("improves", "explains", "measures", "predicts", "simplifies")
 ADJECTIVES = ("robust", "scalable", "efficient", "novel", "practical", "exact", "modern")
 SENTENCES = ("{topic} {verb} {adjective} results.", "a {adjective} method {verb} {topic}.", "research on {topic} {verb} {adjective} models.", "{adjective} {topic} {verb} many tasks.", "in practice {topic} {verb} {adjective} systems.")
-QUESTIONS = ("what is {topic}", "how does {adjective} {topic} work", "why {topic} {verb} results", "examples of {adjective} {topic}")
+QUESTIONS = ("where {topic} {verb} anything", "which {topic} is {adjective}", "why {topic} {verb} results", "cases of {adjective} {topic}")
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -40,7 +40,26 @@ def weight_of(u: Column, exponential: float | None) -> Column:
     """Uniform in 0.1 to 3, or log(1 + x) of an exponential x of that mean."""
     if exponential is None:
         return (F.lit(0.1) + u * F.lit(2.9)).cast("float")
-    return F.log1p(-F.lit(exponential) * F.log(F.lit(1.0) - u)).cast("float")
+    return F.log(F.lit(1.0) - F.lit(exponential) * F.log(F.lit(1.0) - u)).cast("float")
+
+
+def largest_prime(n: int) -> int:
+    """The largest prime up to n (2 at least)."""
+    return next((p for p in range(n, 2, -1) if all(p % d for d in range(2, int(p**0.5) + 1))), 2)
+
+
+def exact_documents(spark: SparkSession, n_docs: int, terms: int, vocab: int, seed: int = 42) -> DataFrame:
+    """doc_id, term, weight: exactly ``terms`` different terms a document, drawn without
+    replacement: steps of one length around the largest prime up to the vocabulary meet no
+    term twice."""
+    p = largest_prime(vocab)
+    if terms > p:
+        raise ValueError(f"{terms} different terms need a larger vocabulary than {vocab}")
+    d = spark.range(n_docs).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(terms))).alias("j"))
+    first = F.floor(draw(seed, F.col("doc_id")) * p)
+    step = F.floor(draw(seed + 1, F.col("doc_id")) * (p - 1)) + 1
+    weight = weight_of(draw(seed + 3, F.col("doc_id"), F.col("j")), None)
+    return d.select("doc_id", ((first + F.col("j") * step) % p).cast("long").alias("term"), weight.alias("weight"))
 
 
 def documents(

@@ -19,8 +19,8 @@ def read_json_vectors(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumnRenamed("value", "line")
 
 
-def read_tar_vectors(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same from (compressed) tar files of such lines.  A task streams a file; the ordinal
+def read_tar_vectors(spark: SparkSession, paths: list[str], max_docs: int | None = None) -> DataFrame:
+    """The same from (compressed) tar files of such lines, of each the first max_docs.  A task streams a file; the ordinal
     numbers its lines, above the number of the file."""
     files = spark.createDataFrame(list(enumerate(paths)), "number long, path string").repartition(max(1, len(paths)), "number")
 
@@ -29,11 +29,12 @@ def read_tar_vectors(spark: SparkSession, paths: list[str]) -> DataFrame:
             for number, path in zip(*(batch.column(c).to_pylist() for c in ("number", "path")), strict=True):
                 store, name = fs.FileSystem.from_uri(path)
                 n = number << 33
+                end = n + (max_docs if max_docs is not None else 1 << 33)
                 with store.open_input_stream(name, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
                     for member in tar:
                         held = tar.extractfile(member)
-                        while held and (some := held.readlines(1 << 20)):
-                            text = [x.decode(errors="replace").rstrip("\r\n") for x in some]
+                        while held and n < end and (some := held.readlines(1 << 20)):
+                            text = [x.decode(errors="replace").rstrip("\r\n") for x in some][: end - n]
                             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(range(n, n + len(text)), pa.int64())], names=["line", "ordinal"])
                             n += len(text)
 
@@ -43,16 +44,25 @@ def read_tar_vectors(spark: SparkSession, paths: list[str]) -> DataFrame:
 def parse_json_vectors(lines: DataFrame, query_side: bool = False) -> DataFrame:
     """id, ordinal, token, weight from (line, ordinal).  Broken lines, and empty or missing
     vectors, are skipped; the id is the first of id, _id, docid (queries: qid) or the
-    ordinal; of queries of one id the last stays."""
+    ordinal."""
     x = lines.withColumn("x", F.from_json("line", VECTOR_JSON)).where(F.size("x.vector") > 0)
     third = "x.qid" if query_side else "x.docid"
     x = x.select(F.coalesce("x.id", "x._id", third, F.col("ordinal").cast("string")).alias("id"), "ordinal", F.col("x.vector").alias("vector"))
-    if query_side:
-        last = W.partitionBy("id").orderBy(F.col("ordinal").desc())
-        x = x.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     return x.select("id", "ordinal", F.explode("vector").alias("token", "weight"))
 
 
+def last_queries(parsed: DataFrame) -> DataFrame:
+    """Of queries of one id the last.  Apply it after the vocabulary: a line of which no token
+    is known is no query, and does not replace an earlier one."""
+    last = F.max("ordinal").over(W.partitionBy("id"))
+    return parsed.withColumn("_last", last).where("ordinal = _last").drop("_last")
+
+
+def query_vectors(lines: DataFrame, vocab: DataFrame) -> DataFrame:
+    """id, ordinal, term_id, weight of queries, those of one id being the last known one."""
+    return last_queries(with_vocabulary(parse_json_vectors(lines, query_side=True), vocab))
+
+
 def with_vocabulary(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Tokens replaced by their term_id; unknown ones are dropped."""
     return tokens.join(vocab, "token").drop("token").withColumn("weight", F.col("weight").cast("float"))

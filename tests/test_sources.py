@@ -28,7 +28,7 @@ def test_json_vectors(spark, tmp_path):
     got = {tuple(r) for r in vectors.with_vocabulary(parsed, vocab).select("id", "term_id", "weight").collect()}
     assert got == {("a", 4, 1.0), ("a", 4, 9.0), ("c", 4, 2.5), ("4", 5, 1.0)}
     assert vectors.unknown_tokens(parsed, vocab).first()[0] == 1
-    queries = vectors.parse_json_vectors(vectors.read_json_vectors(spark, str(tmp_path / "v.jsonl.gz")), query_side=True)
+    queries = vectors.last_queries(vectors.parse_json_vectors(vectors.read_json_vectors(spark, str(tmp_path / "v.jsonl.gz")), query_side=True))
     assert {(r.id, r.token, r.weight) for r in queries.where("id = 'a'").collect()} == {("a", "x", 9.0)}
     numbers = {r.id: r.doc_id for r in vectors.numbered_documents(parsed).collect()}
     assert numbers == {"a": 0, "c": 1, "4": 2}
@@ -45,6 +45,8 @@ def test_tar_vectors(spark, tmp_path):
     lines = vectors.read_tar_vectors(spark, [f"file://{tmp_path}/v{k}.tar.gz" for k in range(2)])
     numbers = {r.id: r.doc_id for r in vectors.numbered_documents(vectors.parse_json_vectors(lines)).collect()}
     assert numbers == {f"{k}-{p}-{i}": k * 6 + p * 3 + i for k in range(2) for p in range(2) for i in range(3)}
+    few = vectors.parse_json_vectors(vectors.read_tar_vectors(spark, [f"file://{tmp_path}/v{k}.tar.gz" for k in range(2)], max_docs=4))
+    assert {r.id for r in few.collect()} == {f"{k}-{p}-{i}" for k in range(2) for p in range(2) for i in range(3) if p * 3 + i < 4}
 
 
 def test_run_file(spark, tmp_path):
