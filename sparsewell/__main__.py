@@ -4,15 +4,20 @@
     python -m sparsewell search   --index index_dir --queries queries.parquet --k 100 --out run_dir
     python -m sparsewell evaluate --run run_dir --qrels qrels.tsv --k 10 100
     python -m sparsewell collection --folder folder --name name --k 10 100
+    python -m sparsewell sweep    --vary docs --values 1000 10000 --k 100 --out rows.jsonl
+    python -m sparsewell verify   --tables folder --only scatter_topk
 """
 
 from __future__ import annotations
 
 import argparse
+import sys
+from dataclasses import fields, replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .experiments import Setting, lines, sweep
 from .functions.encode import bm25_postings, term_counts, text_postings
 from .operators import metrics
 from .operators.index import SparseIndex, build_index
@@ -20,6 +25,7 @@ from .plans.retrieve import STRATEGIES, retrieve, retrieve_in_batches
 from .sources.collection import read_collection
 from .sources.qrels import read_qrels, read_run
 from .sources.sinks import write_run
+from .verify import verify
 
 
 def _index(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -59,6 +65,29 @@ def _collection(spark: SparkSession, a: argparse.Namespace) -> None:
     rows.select(F.lit(a.name).alias("collection"), "*").show(truncate=False)
 
 
+def _sweep(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Measure one varied setting; a JSON line a value."""
+    kind = {f.name: f.type for f in fields(Setting)}
+    read = lambda name, text: float(text) if "float" in kind[name] else int(text) if "int" in kind[name] else text
+    given = {n: read(n, getattr(a, n)) for n in kind if getattr(a, n, None) is not None}
+    out = open(a.out, "w") if a.out else sys.stdout
+    for line in lines(sweep(spark, a.vary, [read(a.vary, v) for v in a.values], replace(Setting(), **given), a.repeats)):
+        print(line, file=out, flush=True)
+    if a.out:
+        out.close()
+
+
+def _verify(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Compare queries with their SQL; the exit code tells whether all are equal."""
+    failed = 0
+    for name, found in verify(spark, a.tables, a.only):
+        failed += found != "equal"
+        print(f"{name}: {found}", flush=True)
+    print(f"{failed} failed")
+    if failed:
+        raise SystemExit(1)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="sparsewell", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(required=True)
@@ -99,6 +128,18 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--denominator", choices=("judged", "graded", "all"), default="graded")
     c.add_argument("--drop-self", action="store_true")
     c.set_defaults(do=_collection)
+    c = sub.add_parser("sweep")
+    c.add_argument("--vary", required=True, choices=[f.name for f in fields(Setting)])
+    c.add_argument("--values", nargs="+", required=True)
+    for f in fields(Setting):
+        c.add_argument(f"--{f.name.replace('_', '-')}", dest=f.name)
+    c.add_argument("--repeats", type=int, default=3)
+    c.add_argument("--out")
+    c.set_defaults(do=_sweep)
+    c = sub.add_parser("verify")
+    c.add_argument("--tables", required=True, help="folder of Parquet tables")
+    c.add_argument("--only", nargs="+")
+    c.set_defaults(do=_verify)
     a = p.parse_args(argv)
     a.do(SparkSession.builder.appName("sparsewell").config("spark.sql.optimizer.windowGroupLimitThreshold", "100000").getOrCreate(), a)
 

@@ -6,7 +6,7 @@ import statistics
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -56,6 +56,29 @@ def timed(build: Callable[[], DataFrame], repeats: int = 3, warm_up: int = 1) ->
     return {"mean": statistics.fmean(took), "median": statistics.median(took), "min": min(took), "max": max(took), "std": statistics.pstdev(took)}
 
 
+def work(spark: SparkSession, build: Callable[[], DataFrame]) -> dict[str, float]:
+    """What a query costs, by Spark's own counters: wall_s, cpu_s and run_s of all tasks,
+    cpu_per_wall (cores kept busy), gc_s, and MB shuffled, spilled and read."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    every = lambda: store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+
+    def each():
+        stages = every()
+        return [stages.apply(i) for i in range(stages.size())]
+
+    known = {(s.stageId(), s.attemptId()) for s in each()}
+    start = time.perf_counter()
+    build().write.format("noop").mode("overwrite").save()
+    wall = time.perf_counter() - start
+    own = [s for s in each() if (s.stageId(), s.attemptId()) not in known]
+    total = lambda name, unit: sum(getattr(s, name)() for s in own) / unit
+    cpu = total("executorCpuTime", 1e9)
+    return {
+        "wall_s": wall, "cpu_s": cpu, "run_s": total("executorRunTime", 1e3), "cpu_per_wall": cpu / wall, "gc_s": total("jvmGcTime", 1e3),
+        "shuffled_mb": total("shuffleWriteBytes", 1e6), "spilled_mb": total("diskBytesSpilled", 1e6), "read_mb": total("inputBytes", 1e6),
+    }
+
+
 def safely(build: Callable[[], DataFrame], **kw) -> dict:
     """:func:`timed`, or the error that ended it."""
     try:

@@ -3,10 +3,11 @@
 import json
 
 import pytest
+from comparing import SMALL
 
 from sparsewell.__main__ import main
 from sparsewell.functions.encode import model_postings
-from sparsewell.operators import metrics, query, score
+from sparsewell.operators import metrics, profile, query, score
 from sparsewell.operators.blockmax import blockmax
 from sparsewell.operators.index import build_index
 from sparsewell.plans.retrieve import retrieve, retrieve_in_batches
@@ -121,3 +122,24 @@ def test_model_postings(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, "c")], "doc_id long, text string")
     got = model_postings(docs, "doc_id", "text", lambda texts: texts.map(lambda t: {w: float(ord(w)) - 97.0 for w in t.split()}))
     assert sorted((r.doc_id, r.term, r.weight) for r in got.collect()) == [(1, "b", 1.0), (3, "c", 2.0)]
+
+
+def test_work_counts_what_a_query_costs(spark):
+    w = profile.work(spark, lambda: spark.range(200_000).repartition(4).selectExpr("sum(sqrt(id))"))
+    assert w["cpu_s"] > 0 and w["run_s"] > 0 and w["shuffled_mb"] > 0.1 and 0 < w["cpu_per_wall"] < 8
+
+
+def test_sweep_command(tmp_path):
+    main(["sweep", "--vary", "strategy", "--values", "auto", "blockmax", "none", "--docs", "300", "--queries", "5", "--terms", "20", "--vocab", "500", "--k", "5", "--repeats", "1", "--out", str(tmp_path / "r")])
+    rows = [json.loads(x) for x in (tmp_path / "r").read_text().splitlines()]
+    assert [r["strategy"] for r in rows] == ["auto", "blockmax", "none"] and "error" in rows[2]
+    assert all(r["overlap"] == 1 and r["median"] > 0 and r["cpu_s"] > 0 and r["docs"] == 300 for r in rows[:2])
+    main(["sweep", "--vary", "max_terms", "--values", "2", "--docs", "300", "--queries", "5", "--vocab", "500", "--repeats", "1", "--out", str(tmp_path / "s")])
+    assert json.loads((tmp_path / "s").read_text())["overlap"] < 1
+
+
+def test_verify_command(capsys):
+    main(["verify", "--tables", SMALL, "--only", "scatter_topk", "qrels_tsv"])
+    assert "scatter_topk: equal" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["verify", "--tables", SMALL, "--only", "no_such_query"])
