@@ -12,10 +12,12 @@ Blocks are too coarse for a source that is small beside the others: its slots ar
 none, and its last block is cut short.  A source that the schedule leaves more than
 ``NEAR`` of its target away from it is settled instead: all its words are taken as often
 as fits into the target, and the first words of its stream once more, up to the target
-exactly.  (The SQL states the schedule alone; where no source is so small the two agree.)
+exactly.
 
 Nothing is gathered per source in one task: positions in a stream and ranks of
-slots are sums in two levels, within hash (or slot) ranges and over the ranges.
+slots are sums in two levels, within hash (or slot) ranges and over the ranges.  The
+targets themselves are found over one row a source, in one task: sources are thought of as
+collections, of which there may be many thousands, not as a web host each.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is
 a source of its own, last in order; equal rows are separate documents; an empty
@@ -186,7 +188,11 @@ b AS (SELECT sid, rank % n_blocks AS blk, count(*) AS times FROM r WHERE rank <
 p AS (SELECT doc_id, size, source_size, target, sid, place, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT p.sid, p.start, sum((least(p.start + p.size, (x.blk + 1) * block) - greatest(p.start, x.blk * block)) * coalesce(b.times, 0)) AS got
-      FROM p, k, unnest(range(CAST(p.start AS BIGINT) // block, (CAST(p.start AS BIGINT) + p.size - 1) // block + 1)) AS x(blk) LEFT JOIN b ON b.sid = p.sid AND b.blk = x.blk WHERE p.size > 0 GROUP BY ALL)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(got, 0) AS BIGINT) AS taken
-FROM p LEFT JOIN c ON c.sid = p.sid AND c.start = p.start AND p.size > 0
+      FROM p, k, unnest(range(CAST(p.start AS BIGINT) // block, (CAST(p.start AS BIGINT) + p.size - 1) // block + 1)) AS x(blk) LEFT JOIN b ON b.sid = p.sid AND b.blk = x.blk WHERE p.size > 0 GROUP BY ALL),
+a AS (SELECT sid, sum(got) AS came FROM c GROUP BY sid),
+f AS (SELECT sid, CAST(round(target) AS BIGINT) AS due FROM t LEFT JOIN a USING (sid) WHERE abs(coalesce(came, 0) - target) > CAST({NEAR} AS DOUBLE) * target),
+z AS (SELECT p.*, got, due, due // greatest(source_size, 1) AS times FROM p LEFT JOIN c ON c.sid = p.sid AND c.start = p.start AND p.size > 0 LEFT JOIN f ON f.sid = p.sid)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(CASE WHEN due IS NOT NULL THEN times * size + greatest(0, least(start + size, due - times * source_size) - start) ELSE coalesce(got, 0) END AS BIGINT) AS taken
+FROM z
 """

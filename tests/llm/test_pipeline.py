@@ -78,3 +78,17 @@ def test_stages_take_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).collect() == []
+
+
+def test_stages_take_a_very_long_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = " ".join(f"word{i % 9973}" for i in range(300_000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", len(long)), (3, "a short text in the table", "en", "s", 20)]
+    table = spark.createDataFrame(rows, docs.schema)
+    joined = corpus_pipeline.join_similar(spark, table, sf_dir)
+    assert sorted(r.doc_id for r in joined.collect()) == [1, 3]
+    for stage in (corpus_pipeline.identify, corpus_pipeline.decontaminate, corpus_pipeline.mix):
+        assert {len(r.text) for r in stage(spark, table, sf_dir).collect()} >= {len(long), len(long) + 4}
+    got = {r.doc_id: r for r in corpus_pipeline.tokens(spark, table, sf_dir).collect()}
+    ids = [*Tokenizer.from_file(default_tokenizer()).encode(long, add_special_tokens=False).ids, 2]
+    assert got[1].n_tokens == len(ids) and got[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())

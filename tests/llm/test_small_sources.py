@@ -2,8 +2,11 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 
+from comparing import rows as sorted_rows
+
 from sparsewell.llm import mixing
 
 
@@ -14,6 +17,11 @@ def test_every_source_comes_near_its_target(spark, sizes):
         step = 50 if n > 1000 else 2
         rows += [(len(rows) + i, " ".join(["w"] * min(step, n - at)), f"s{k}") for i, at in enumerate(range(0, n, step))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    documents = docs.toPandas()
+    con.register("documents", documents)
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted_rows(mixing.mix(docs).toPandas(), columns) == sorted_rows(con.sql(mixing.ORACLE_SQL).df(), columns)
     out = mixing.mix(docs).collect()
     taken = Counter()
     for r in out:
@@ -22,3 +30,10 @@ def test_every_source_comes_near_its_target(spark, sizes):
     for source, target in {r.source: r.target for r in out}.items():
         assert abs(taken[source] - target) <= max(0.5, mixing.NEAR * target), (source, taken[source], target)
     assert mixing.mixed_documents(docs).select("source").distinct().count() == len(sizes)
+
+
+def test_many_sources_are_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 17), f"s{i % 23}") for i in range(400)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == want
