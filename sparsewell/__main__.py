@@ -22,7 +22,7 @@ from .functions.encode import bm25_postings, term_counts, text_postings
 from .operators import metrics
 from .operators.index import SparseIndex, build_index
 from .plans.retrieve import STRATEGIES, retrieve, retrieve_in_batches
-from .sources.collection import read_collection
+from .sources.collection import Collection, read_collection
 from .sources.qrels import read_qrels, read_run
 from .sources.sinks import write_run
 from .verify import verify
@@ -59,6 +59,10 @@ def _collection(spark: SparkSession, a: argparse.Namespace) -> None:
         terms = term_counts(c.queries, "query_id").select("query_id", "term", F.col("tf").cast("float").alias("weight"))
     else:
         terms = text_postings(c.queries, "query_id", as_key="query_id")
+    if a.max_queries is not None:
+        few = c.queries.orderBy("query_id").limit(a.max_queries)
+        c = Collection(c.documents, few, c.qrels.join(few.select("query_id"), "query_id", "left_semi"))
+        terms = terms.join(few.select("query_id"), "query_id", "left_semi")
     run = retrieve(terms, index, max(a.k), a.strategy, max_terms=a.max_terms)
     run = metrics.without_repeats(metrics.without_self(run) if a.drop_self else run)
     rows = metrics.evaluate(run, c.qrels, tuple(a.k), a.gain, a.denominator, c.queries.select("query_id"))
@@ -120,6 +124,7 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--name", default="collection")
     c.add_argument("--split", default="test")
     c.add_argument("--max-docs", type=int)
+    c.add_argument("--max-queries", type=int)
     c.add_argument("--weights", choices=("logtf", "bm25"), default="logtf")
     c.add_argument("--max-terms", type=int)
     c.add_argument("--strategy", choices=STRATEGIES, default="auto")

@@ -33,6 +33,14 @@ def width_stats(queries: DataFrame, max_terms: int) -> DataFrame:
     )
 
 
+def uncut(queries: DataFrame, max_terms: int) -> DataFrame:
+    """queries, but reading them fails if one has more than ``max_terms`` terms, which would
+    be cut elsewhere without notice."""
+    n = F.count("*").over(W.partitionBy("query_id"))
+    ok = F.assert_true(F.col("_n") <= max_terms, F.lit(f"a query has more than {max_terms} terms")).isNull()
+    return queries.withColumn("_n", n).where(ok).drop("_n")
+
+
 def upper_bounds(queries: DataFrame, stats: DataFrame, term: str = "term") -> DataFrame:
     """queries with ub, the most a term can add to a score; 0 for terms without postings.
     Negative weights, which would make it no bound, are refused."""

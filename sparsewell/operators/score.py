@@ -120,16 +120,22 @@ def thresholds(s: DataFrame, k: int) -> DataFrame:
 
 def candidate_decay(queries: DataFrame, postings: DataFrame, k: int, chunk: int, term: str = "term") -> DataFrame:
     """Per chunk, scored pairs and those that reach the k-th best score of all chunks up to
-    and including their own.  That running threshold is the least of the k best scores so
-    far, so each chunk adds its own k best to those before."""
+    and including their own.  The running threshold comes from one walk over a query's
+    chunks, which carries the k best scores so far: of a chunk only its own k best matter."""
     s = with_chunk(scores(queries, postings, term).where("score <> 0"), chunk)
-    s = s.withColumn("cell", F.struct("query_id", "chunk"))
-    best = top_k(s, k, by="cell").select("query_id", "chunk", "doc_id", "score")
-    chunks = s.select(F.col("query_id").alias("q"), F.col("chunk").alias("c")).distinct()
-    so_far = best.join(chunks, (F.col("query_id") == F.col("q")) & (F.col("chunk") <= F.col("c")))
-    so_far = so_far.withColumn("cell", F.struct("q", "c")).drop("query_id", "chunk")
-    tau = top_k(so_far, k, by="cell").where(F.col("rank") == k).select("q", "c", F.col("score").alias("tau"))
-    kept = s.join(tau, (F.col("query_id") == F.col("q")) & (F.col("chunk") == F.col("c")), "left")
+    order = W.partitionBy("query_id", "chunk").orderBy(F.col("score").desc(), "doc_id")
+    best = s.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).groupBy("query_id", "chunk").agg(F.collect_list("score").alias("best"))
+    walks = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "best"))).alias("chunks"))
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("best"), F.array().cast("array<struct<chunk:bigint,tau:double>>").alias("taus"))
+
+    def step(a, x):
+        held = F.slice(F.sort_array(F.concat(a["best"], x["best"]), asc=False), 1, k)
+        tau = F.struct(x["chunk"].alias("chunk"), F.get(held, F.lit(k - 1)).alias("tau"))
+        return F.struct(held.alias("best"), F.concat(a["taus"], F.array(tau)).alias("taus"))
+
+    tau = walks.select("query_id", F.explode(F.aggregate("chunks", start, step)["taus"]).alias("t")).select("query_id", "t.chunk", "t.tau")
+    kept = s.join(tau, ["query_id", "chunk"], "left")
     reach = F.count_if(F.col("tau").isNull() | (F.col("score") >= F.col("tau")))
     return kept.groupBy("chunk").agg(F.count("*").alias("scored"), reach.alias("candidates"))
 

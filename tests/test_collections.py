@@ -38,8 +38,9 @@ def test_read_collection(spark, folder):
 
 @pytest.mark.parametrize("weights", ["logtf", "bm25"])
 def test_collection_command(folder, capsys, weights):
-    main(["collection", "--folder", folder, "--name", "mine", "--k", "1", "10", "--weights", weights])
+    main(["collection", "--folder", folder, "--name", "mine", "--k", "1", "10", "--weights", weights, "--max-queries", "2"])
     text = capsys.readouterr().out
+    assert text.count("|2        |") == 2
     assert "mine" in text and "|1  |" in text and "|10 |" in text
 
 
@@ -73,6 +74,9 @@ def test_negative_weights_are_refused(spark):
     for run in (score.compacted(q, p, 2, 10), blockmax(q, p, 2, 10), query.prune_by_bound(q.withColumn("weight", -q.weight), p.groupBy("term").agg({"weight": "max"}).withColumnRenamed("max(weight)", "max_weight"), 1.0)):
         with pytest.raises(Exception, match="must not be negative"):
             run.collect()
+    assert query.uncut(q, 1).count() == 1
+    with pytest.raises(Exception, match="more than 0 terms"):
+        query.uncut(q, 0).collect()
     with pytest.raises(ValueError, match="too many"):
         score.dense(q, p, 1, max_pairs=1)
 
