@@ -34,17 +34,18 @@ are compared.  Sets are compared by 48 bits of their shingles' hashes.
 
 Where the differences are frequent themselves, as in texts put together from a stock of
 passages, these filters keep most pairs.  The pairs are therefore counted first: a list
-(hub) that would give more than ``PAIRS`` a member is crowded, and for its members there is
-a second way.  Shingles whose members have the same least values of four hashes are one class; a
-passage is mostly one class, although texts with edits lack some of it.  A text has a class
-if it holds three quarters of it, has it not if a quarter at most, and may count either way
-between.  If one of two texts has a class and the other has not, they differ in half of it,
-so two linked sets agree on all heavy classes (of about a fourteenth of a set at least) but
-some of bounded weight.  A member is indexed under its heavy classes less each set of them
-within that bound, and linked sets share what both have; as one of them lacks no more than
-half of what both may, only entries of which one lacks that little are joined.  Members whose heavy classes outweigh the bound are
-found with all their links; they go the way that gives them fewer candidates.  How well
-classes fit passages only changes the cost.  What remains quadratic are crowded lists
+(hub) that would give more than ``PAIRS`` a member is crowded, and its members have a
+second way.  Shingles whose members have the same least values of four hashes are one
+class; a passage is mostly one class, although texts with edits lack some of it.  A text
+has a class if it holds three quarters of it, has it not if it holds a quarter at most,
+and may count either way between.  If one of two texts has a class and the other has it
+not, they differ in half of it, so linked sets agree on all heavy classes (of about a
+fourteenth of a set at least) but some of bounded weight.  A member is indexed under its
+heavy classes less each set of them within that bound, and linked sets meet under those
+that both have; one of the two leaves out no more than half of the bound, so entries that
+leave out more are joined with such ones only.  Members whose heavy classes outweigh the
+bound find all their links so, and go the way that gives them fewer candidates.  How well
+classes fit passages changes the cost alone.  What remains quadratic are crowded lists
 without heavy classes, as of texts of dozens of short passages.
 
 Defined cases: a text without words is empty, links with nothing and is a component of
@@ -60,13 +61,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .rows import packed, unpacked
 from .store import saved, small_batches
-from .wordhash import BLANK_SEPARATED, Words, mixed, pieces, shingles
+from .wordhash import BLANK_SEPARATED, Words, mixed, pieces, shingles, trim
 
 K, PERCENT = 5, 80
 #: Level (log2 of document frequency) from which shingles are indexed in pairs.
@@ -215,8 +217,8 @@ def signatures(h: np.ndarray, level: np.ndarray) -> np.ndarray:
 POSTINGS = "sig long, sid long, n int, alone int"
 
 
-def postings(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def postings(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """The postings of all sets; shared: the table of levels, sent to all tasks once."""
 
     def rows(batches):
         levels = shared.value
@@ -274,6 +276,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out.append((a, b))
             if out:
                 yield _batch("a long, b long", *zip(*out, strict=True))
+            trim()
 
     side = lambda k, v: sets.select(F.col("sid").alias(k), F.col("hashes").alias(v))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
@@ -282,12 +285,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 DIFFERENCES = "hub long, token long, sid long, n int, root long, as_x boolean, as_y boolean"
 
 
-def differences(members: DataFrame, sets: DataFrame, table: np.ndarray) -> DataFrame:
+def differences(members: DataFrame, sets: DataFrame, shared: Broadcast) -> DataFrame:
     """For members (hub, sid, n, root) of lists, the prefixes of their differences from the
     hub, rarest first: the part that counts for a set not linked to the hub (as_x), and for
     any partner of such a set (as_y).  Shingles of this document only take their places but
     give no row; those of the hub only come last, as all its members lack them."""
-    shared = members.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches):
         levels = shared.value
@@ -347,10 +349,9 @@ def _met(x: DataFrame, y: DataFrame, key: list[str]) -> DataFrame:
 TOKENS = "sid long, token long"
 
 
-def heavy_classes(members: DataFrame, sets: DataFrame, table: np.ndarray) -> DataFrame:
+def heavy_classes(members: DataFrame, sets: DataFrame, shared: Broadcast) -> DataFrame:
     """For members (sid, n, root): sid, n, root and classes (class, weight, has) of the heavy
     classes, those of about a fourteenth of a set (so few), that it has or may have."""
-    shared = members.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches):
         for batch in batches:
@@ -427,10 +428,10 @@ def by_classes(heavy: DataFrame) -> DataFrame:
     return heavy.mapInArrow(rows, CLASS_SIGNATURES)
 
 
-def candidates(members: DataFrame, sets: DataFrame, table: np.ndarray) -> DataFrame:
+def candidates(members: DataFrame, sets: DataFrame, shared: Broadcast) -> DataFrame:
     """Pairs (a, b) of members (hub, sid, n, root) of lists among which are all links between
     different components (roots)."""
-    diff = saved(differences(members, sets, table), "ngram-differences")
+    diff = saved(differences(members, sets, shared), "ngram-differences")
     counts = diff.groupBy("hub", "token").agg(F.count_if("as_x").alias("cx"), F.count_if("as_y").alias("cy"), F.bit_or(F.call_function("shiftleft", F.lit(1), _salt())).alias("salts"))
     counts = saved(counts.where("cx > 0 and cy > 0").withColumn("pairs", F.col("cx") * F.col("cy")), "ngram-counts")
     each = counts.select("hub", "token", "cy", "pairs", F.lit(0).alias("lost"), _each_salt())
@@ -441,7 +442,7 @@ def candidates(members: DataFrame, sets: DataFrame, table: np.ndarray) -> DataFr
     if crowded.isEmpty():
         return _met(x, y, key)
     some = members.join(crowded, "hub", "left_semi").select("sid", "n", "root").distinct()
-    sigs = saved(by_classes(heavy_classes(saved(some, "ngram-members"), sets, table)).withColumn("salt", _salt()), "ngram-classes")
+    sigs = saved(by_classes(heavy_classes(saved(some, "ngram-members"), sets, shared)).withColumn("salt", _salt()), "ngram-classes")
     lists = sigs.where("listed").groupBy("sig").agg(F.count("*").alias("size"), F.count_if("small").alias("few"), _salts()).where("size > 1 and few > 0")
     lists = lists.select("sig", "size", "few", (F.col("size") * F.col("few")).alias("pairs"), _each_salt())
     listed = saved(sigs.join(lists, ["sig", "salt"]).drop("salt"), "ngram-class-lists")
@@ -474,8 +475,8 @@ def _linked_components(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     reps = own.where("n > 0").groupBy("sid").agg(least.alias("r"), F.count("*").alias("copies"), _salts())
     reps = reps.select("sid", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), "copies", "salts")
-    table = frequency_table(docs, total)
-    post = saved(postings(docs, table).distinct().withColumn("salt", _salt()), "ngram-postings")
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_table(docs, total))
+    post = saved(postings(docs, shared).distinct().withColumn("salt", _salt()), "ngram-postings")
     hubs = post.groupBy("sig").agg(F.min(F.struct("alone", "sid", "n")).alias("hub"), F.count("*").alias("members"), _salts()).where("members > 1")
     hubs = hubs.select("sig", "hub", "members", "salts", _each_salt())
     post = saved(post.join(hubs, ["sig", "salt"]).select("sig", "sid", "n", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), "members", "salt"), "ngram-lists")
@@ -491,8 +492,9 @@ def _linked_components(docs: DataFrame) -> DataFrame:
     named = post.where("members > 2").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), _salts()).where("lo <> hi").select("sig", _each_salt())
     members = saved(named.join(split, ["sig", "salt"], "left_semi").where("sid <> hub").select("hub", "sid", "n", "root").distinct(), "ngram-members")
-    met = candidates(members, sets, table)
+    met = candidates(members, sets, shared)
     more = saved(verified(met.join(stars, ["a", "b"], "left_anti"), sets), "ngram-links")
+    shared.unpersist()  # whatever needs it is saved
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 

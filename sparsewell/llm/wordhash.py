@@ -2,12 +2,13 @@
 
 A batch of texts is one byte array.  The hash of the word at bytes [i, j) is the
 polynomial sum over its bytes of value(byte) * P**position, divided by P**i (P is odd,
-so it has an inverse modulo 2**64), then mixed.  All words of a batch so come from one
+so it has an inverse modulo 2**64), then mixed.  The words of a block of bytes so come from one
 cumulative sum.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,10 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is handled alone, whole.
 SLICE_BYTES = 1 << 20
+#: Bytes of which words are hashed at once (one word at least), so that little is held.
+BLOCK_BYTES = 1 << 17
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 _U = np.uint64
 _P, _SEED = 0x9E3779B97F4A7C15 | 1, 0x243F6A8885A308D3
 _powers: list[np.ndarray] = []
@@ -33,7 +37,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> list[np.ndarray]:
     """Byte values, P**i and P**-i for i <= n."""
     if not _powers or len(_powers[1]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
+        size = max(n + 1, BLOCK_BYTES + 1)
         p, q = np.full(size, _P, _U), np.full(size, pow(_P, -1, 1 << 64), _U)
         p[0] = q[0] = 1
         _powers[:] = [mixed(np.arange(256, dtype=_U) + _U(_SEED)) | _U(1), np.multiply.accumulate(p), np.multiply.accumulate(q)]
@@ -70,10 +74,18 @@ class Words:
         starts[cut] = True
         stops[cut - 1] = True
         self.bytes, self.start, self.stop = data, np.flatnonzero(starts), np.flatnonzero(stops) + 1
-        value, power, inverse = _tables(len(data))
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(value[data] * power[: len(data)], out=sums[1:])
-        self.hash = mixed((sums[self.stop] - sums[self.start]) * inverse[self.start])
+        self.hash = np.empty(len(self.start), _U)
+        i = 0
+        while i < len(self.start):
+            lo = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.stop, lo + BLOCK_BYTES, "right")))
+            n = int(self.stop[j - 1] - lo)
+            value, power, inverse = _tables(n)
+            sums = np.zeros(n + 1, _U)
+            np.cumsum(value[data[lo : lo + n]] * power[:n], out=sums[1:])
+            at = self.start[i:j] - lo
+            self.hash[i:j] = mixed((sums[self.stop[i:j] - lo] - sums[at]) * inverse[at])
+            i = j
         self.bounds = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
 
@@ -97,6 +109,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def trim() -> None:
+    """Give freed memory back: Python workers outlive their tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in runs of rows of at most ``limit`` bytes of text (one row at least),
     with their bytes and offsets."""
@@ -106,6 +125,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    trim()
 
 
 def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
