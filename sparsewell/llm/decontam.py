@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import packed, unpacked
-from .store import saved
+from .store import dealt, saved
 from .wordhash import ALPHANUMERIC, Words, pieces, text_bytes
 
 WINDOW, SLOP, NEAR_PERCENT = 13, 8, 80
@@ -255,7 +255,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, items).drop("key")
+    return contamination(dealt(docs), items).drop("key")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .rows import packed, unpacked
 from .scripts import SCRIPTS, LetterWords
+from .store import dealt
 from .wordhash import Words, pieces
 
 FOLDS, SAMPLE_ROWS = 5, 4000
@@ -271,6 +272,6 @@ def identified_documents(docs: DataFrame, model: Model, min_score: float = MIN_S
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     held_out = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
     return predict(docs, learn(docs)).select("doc_id", held_out, "lang_pred", "score")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .licensetexts import BASE, NAMES, TEMPLATES
+from .store import dealt
 from .wordhash import ALPHANUMERIC, Words, hash_word, pieces
 
 STEP, MIN_SHARE, RARE_MASS = 8, 0.5, 0.75
@@ -184,4 +185,4 @@ def _scan_piece(index: Index, part: pa.RecordBatch, data: np.ndarray, at: np.nda
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))

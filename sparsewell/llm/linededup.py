@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import dealt, saved
 
 MIN_WORDS, SALTS = 50, 16
 SPACE = r"[\x20\x09-\x0D]+"
@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    d = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    d = dedup_lines(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return d.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

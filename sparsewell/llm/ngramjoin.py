@@ -67,7 +67,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rows import packed, unpacked
-from .store import saved, small_batches
+from .store import dealt, saved, small_batches
 from .wordhash import BLANK_SEPARATED, Words, mixed, pieces, shingles, trim
 
 K, PERCENT = 5, 80
@@ -519,7 +519,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return linked_components(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE_SQL = r"""

@@ -48,6 +48,18 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stored bytes a core below which a table is dealt over all cores.
+CORE_BYTES = 4 << 20
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt over all cores if it is so small that its files may make fewer tasks
+    than there are cores.  What is shuffled is bounded by the cores; larger tables stay."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * CORE_BYTES else docs
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
     """Within it, rows go to Python in batches of at most ``size`` bytes."""

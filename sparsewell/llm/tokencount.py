@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .pretokens import Cache, Pieces, default_tokenizer
+from .store import dealt
 from .wordhash import pieces
 
 LIMIT = 2048
@@ -188,4 +189,4 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return count_tokens(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))
