@@ -15,10 +15,14 @@ sizes where it changes, both values are indexed, so linked sets always have one
 common.  A shingle of one document only takes its place in the prefix but no posting.
 
 **Document frequencies** are counted exactly, over all documents, from sorted hash
-lists, and end in a table of ``TABLE_BITS`` bits of hash with 4 bits of level each,
-32 MB whatever the corpus, that all tasks get.  A slot has the level of its most
-frequent shingle; two shingles in one slot only cost selectivity, as any order gives
-the same links.
+lists, and end in two tables that all tasks get.  One has a bit for a hash, set if a
+shingle of two documents has it; it grows with the corpus from 8 MB to 128 MB
+(``SEEN_BITS``), so that most shingles of one document are known as such: texts without a
+copy give no postings as long as less than four fifths of the bits are set.  The other,
+32 MB, has levels from 2 on, 4 bits for ``TABLE_BITS`` bits of hash.  A slot has the
+level of its most frequent shingle; two shingles in one slot only cost selectivity, as
+any order gives the same links.  Where both tables are full, everything is still found,
+but every set has postings, and disk grows to more than twice as much.
 
 **Verification** does not take all pairs of a list.  First every member is compared
 with the list's hub only, the set with the fewest shingles of its own (of near copies
@@ -67,13 +71,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rows import packed, unpacked
-from .store import dealt, saved, small_batches
+from .store import dealt, saved, scratch, shuffles_removed, small_batches
 from .wordhash import BLANK_SEPARATED, Words, mixed, pieces, shingles, trim
 
 K, PERCENT = 5, 80
 #: Level (log2 of document frequency) from which shingles are indexed in pairs.
 FREQUENT = 4
 TABLE_BITS, TOP_LEVEL = 26, 15
+#: Bits of hash of the table of shingles of two documents: one bit for four shingles of the
+#: corpus, at least and at most.
+SEEN_BITS = 26, 30
 #: Tasks that share the rows of one key, and pairs of a key from which they do.
 SALTS, SHARED = 16, 1 << 16
 #: Candidate pairs a member from which on a list is crowded.
@@ -118,12 +125,22 @@ def document_sets(docs: DataFrame) -> DataFrame:
 COUNTS = "bucket long, hashes binary, counts binary"
 
 
-def frequency_table(docs: DataFrame, total: int) -> np.ndarray:
-    """Levels of all slots, two to a byte.  total: shingles of all documents."""
+Levels = tuple[np.ndarray, np.ndarray]
+
+
+def seen_bits(total: int) -> int:
+    """Of a corpus of so many shingles."""
+    return min(max((total // 4).bit_length(), SEEN_BITS[0]), SEEN_BITS[1])
+
+
+def frequency_table(docs: DataFrame, total: int) -> Levels:
+    """The bits of shingles of two documents, and levels of all slots, two to a byte.
+    total: shingles of all documents."""
     size = max(1, total).bit_length()
     bits = min(64, max(40, size + 13))  # of the hash: few of different shingles are equal
+    seen_size = seen_bits(total)
     low = max(0, size - BUCKET_SHINGLES.bit_length() + 1)
-    low = min(low, TABLE_BITS - 1)
+    low = min(low, TABLE_BITS - 1, seen_size - 3)
 
     def count(batches):
         held, n = [], 0
@@ -159,26 +176,41 @@ def frequency_table(docs: DataFrame, total: int) -> np.ndarray:
         h, c = h[order], c[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         df = np.add.reduceat(c, first)
-        level = np.minimum(np.log2(df).astype(np.uint8), TOP_LEVEL)
-        slot = (h[first] >> _U(bits - TABLE_BITS)).astype(np.int64) & ((1 << (TABLE_BITS - low)) - 1)
+        h, df = h[first][df > 1], df[df > 1]
+        slot = lambda h, of: (h >> _U(bits - of)).astype(np.int64) & ((1 << (of - low)) - 1)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        seen = np.zeros(1 << (seen_size - low), bool)
+        seen[slot(h, seen_size)] = True
+        seen = pack(np.packbits(seen, bitorder="little").tobytes())
+        h, df = h[df > 3], df[df > 3]
         out = np.zeros(1 << (TABLE_BITS - low), np.uint8)
-        np.maximum.at(out, slot[level > 0], level[level > 0])
-        packed = zstandard.ZstdCompressor(level=1).compress((out[::2] | (out[1::2] << 4)).tobytes())
-        return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int64()), "levels": pa.array([packed], pa.binary())})
-
-    found = docs.select("doc_id", "text").mapInArrow(count, COUNTS).groupBy("bucket").applyInArrow(levels, "bucket long, levels binary")
-    half = 1 << (TABLE_BITS - low - 1)
-    out = np.zeros(1 << (TABLE_BITS - 1), np.uint8)
-    for bucket, packed in found.collect():  # 32 MB before packing, whatever the corpus
-        out[bucket * half : (bucket + 1) * half] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(packed)), np.uint8)
+        np.maximum.at(out, slot(h, TABLE_BITS), np.minimum(np.log2(df).astype(np.uint8), TOP_LEVEL))
+        out = pack((out[::2] | (out[1::2] << 4)).tobytes())
+        return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int64()), "seen": pa.array([seen], pa.binary()), "levels": pa.array([out], pa.binary())})
+
+    found = docs.select("doc_id", "text").mapInArrow(count, COUNTS).groupBy("bucket").applyInArrow(levels, "bucket long, seen binary, levels binary")
+    tables = np.zeros(1 << (seen_size - 3), np.uint8), np.zeros(1 << (TABLE_BITS - 1), np.uint8)
+    unpack = zstandard.ZstdDecompressor().decompress
+    with scratch(docs.sparkSession, keep=()):
+        for bucket, *packed in saved(found, "ngram-levels").toLocalIterator():  # so that the driver holds one partition
+            for table, part in zip(tables, packed, strict=True):
+                part = np.frombuffer(unpack(bytes(part)), np.uint8)
+                table[bucket * len(part) : (bucket + 1) * len(part)] = part
+    return tables
+
+
+def look_up(tables: Levels, h: np.ndarray) -> np.ndarray:
+    """The level of each hash: 0 of shingles of one document, but for those whose bit
+    another has set."""
+    seen, levels = tables
+    slot = (h >> _U(62 - len(seen).bit_length())).astype(np.int64)
+    at = np.flatnonzero((seen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+    slot = (h[at] >> _U(64 - len(levels).bit_length())).astype(np.int64)
+    out = np.zeros(len(h), np.uint8)
+    out[at] = np.maximum((levels[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8)) & 15, 1)
     return out
 
 
-def look_up(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = (h >> _U(64 - TABLE_BITS)).astype(np.int64)
-    return (table[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8)) & 15
-
-
 def allowed_missing(n: int) -> int:
     """Of n shingles, how many a linked set may lack."""
     return n - -(-PERCENT * n // 100)
@@ -428,14 +460,21 @@ def by_classes(heavy: DataFrame) -> DataFrame:
     return heavy.mapInArrow(rows, CLASS_SIGNATURES)
 
 
-def candidates(members: DataFrame, sets: DataFrame, shared: Broadcast) -> DataFrame:
-    """Pairs (a, b) of members (hub, sid, n, root) of lists among which are all links between
-    different components (roots)."""
-    diff = saved(differences(members, sets, shared), "ngram-differences")
+def _shared_differences(diff: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those of the differences (see ``differences``) that two sets of a list may share, and
+    their counts by hub and token."""
+    diff = saved(diff, "ngram-prefixes")
     counts = diff.groupBy("hub", "token").agg(F.count_if("as_x").alias("cx"), F.count_if("as_y").alias("cy"), F.bit_or(F.call_function("shiftleft", F.lit(1), _salt())).alias("salts"))
     counts = saved(counts.where("cx > 0 and cy > 0").withColumn("pairs", F.col("cx") * F.col("cy")), "ngram-counts")
     each = counts.select("hub", "token", "cy", "pairs", F.lit(0).alias("lost"), _each_salt())
-    diff = saved(diff.withColumn("salt", _salt()).join(each, ["hub", "token", "salt"]).drop("salt"), "ngram-differences")
+    return saved(diff.withColumn("salt", _salt()).join(each, ["hub", "token", "salt"]).drop("salt"), "ngram-differences"), counts
+
+
+def candidates(members: DataFrame, sets: DataFrame, shared: Broadcast) -> DataFrame:
+    """Pairs (a, b) of members (hub, sid, n, root) of lists among which are all links between
+    different components (roots)."""
+    with scratch(members.sparkSession, keep=("ngram-differences", "ngram-counts")):
+        diff, counts = _shared_differences(differences(members, sets, shared))
     crowded = counts.groupBy("hub").agg(F.sum("pairs").alias("pairs")).join(members.groupBy("hub").agg(F.count("*").alias("size")), "hub")
     crowded = saved(crowded.where(F.col("pairs") > PAIRS * F.col("size")).select("hub"), "ngram-crowded")
     key, x, y = ["hub", "token"], diff.where("as_x"), diff.where("as_y")
@@ -462,10 +501,17 @@ def candidates(members: DataFrame, sets: DataFrame, shared: Broadcast) -> DataFr
     return met.distinct()
 
 
+def _lists(post: DataFrame) -> DataFrame:
+    """The postings of lists of two members at least, with their hubs."""
+    hubs = post.groupBy("sig").agg(F.min(F.struct("alone", "sid", "n")).alias("hub"), F.count("*").alias("members"), _salts()).where("members > 1")
+    hubs = hubs.select("sig", "hub", "members", "salts", _each_salt())
+    return saved(post.join(hubs, ["sig", "salt"]).select("sig", "sid", "n", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), "members", "salt"), "ngram-lists")
+
+
 def linked_components(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, component_id (least doc_id reachable by
     links), component (a number of its own; null: an empty set, alone)."""
-    with small_batches(docs.sparkSession):  # a pair to compare brings two sets with it
+    with shuffles_removed(docs.sparkSession), small_batches(docs.sparkSession):  # a pair to compare brings two sets with it
         return _linked_components(docs)
 
 
@@ -476,10 +522,8 @@ def _linked_components(docs: DataFrame) -> DataFrame:
     reps = own.where("n > 0").groupBy("sid").agg(least.alias("r"), F.count("*").alias("copies"), _salts())
     reps = reps.select("sid", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), "copies", "salts")
     shared = docs.sparkSession.sparkContext.broadcast(frequency_table(docs, total))
-    post = saved(postings(docs, shared).distinct().withColumn("salt", _salt()), "ngram-postings")
-    hubs = post.groupBy("sig").agg(F.min(F.struct("alone", "sid", "n")).alias("hub"), F.count("*").alias("members"), _salts()).where("members > 1")
-    hubs = hubs.select("sig", "hub", "members", "salts", _each_salt())
-    post = saved(post.join(hubs, ["sig", "salt"]).select("sig", "sid", "n", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), "members", "salt"), "ngram-lists")
+    with scratch(docs.sparkSession, keep=("ngram-lists",)):
+        post = _lists(saved(postings(docs, shared).distinct().withColumn("salt", _salt()), "ngram-postings"))
 
     stars = post.where((F.col("sid") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n")))
     stars = saved(stars.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct(), "ngram-stars")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,17 +61,26 @@ def dealt(docs: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """Within it, rows go to Python in batches of at most ``size`` bytes."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, size)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> AbstractContextManager[None]:
+    """Within it, rows go to Python in batches of at most ``size`` bytes."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def shuffles_removed(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it, shuffle files go when the table they were made for is written, not when
+    the driver happens to collect its garbage."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, hconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in paths:
