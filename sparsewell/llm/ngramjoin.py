@@ -511,8 +511,9 @@ def _lists(post: DataFrame) -> DataFrame:
 def linked_components(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, component_id (least doc_id reachable by
     links), component (a number of its own; null: an empty set, alone)."""
-    with shuffles_removed(docs.sparkSession), small_batches(docs.sparkSession):  # a pair to compare brings two sets with it
-        return _linked_components(docs)
+    spark = docs.sparkSession
+    with shuffles_removed(spark), small_batches(spark), scratch(spark, keep=("ngram-sets", "ngram-links", "roots")):
+        return _linked_components(docs)  # small batches, as a pair to compare brings two sets with it
 
 
 def _linked_components(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from sparsewell.llm import ngramjoin
+from sparsewell.llm import ngramjoin, store
 from sparsewell.llm.components import components
 from sparsewell.llm.store import saved
 
@@ -240,3 +240,13 @@ def test_bits_grow_with_the_corpus():
     shingles) and 30 GB less than half of the bits are set."""
     for total in (125_000_000, 1_500_000_000, 7_500_000_000):
         assert 1 - np.exp(-0.0914 * total / 2 ** ngramjoin.seen_bits(total)) < 0.5
+
+
+def test_only_tables_that_the_result_reads_stay(spark):
+    """Later stages of the pipeline need not carry the others along."""
+    own = store._written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(own)
+    rows = [(0, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l"), (3, "")]
+    out = ngramjoin.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in own[before:]} <= {"ngram-sets", "ngram-links", "roots"}
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 3]
