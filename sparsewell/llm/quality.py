@@ -3,8 +3,7 @@
 A document's histogram of character classes and its histogram of common words are
 compared with those of each language by the Jensen-Shannon distance (base 2, so 0 to
 1); the nearest language counts.  The common words of a language are learned: the ``COMMON``
-that stand in most rows of a sample of at most about ``SAMPLE_ROWS`` rows labelled with it,
-chosen by a hash of the id.  Its reference histograms are sums over all rows labelled with
+that stand in most rows labelled with it.  Its reference histograms are sums over all rows labelled with
 it that pass the base rule, as texts of one repeated phrase would outweigh the others.  A document is dropped if a distance exceeds its bound.  A text of n
 words is by chance about sqrt(b / (8 n ln 2)) away from a distribution over b bins that
 it was drawn from, so the bound for words is the larger the shorter the text, and each
@@ -19,7 +18,7 @@ Everything is DataFrame operations; one pass over the texts writes the features
 each document, the references are sums over that small table.
 
 Defined cases: a null or blank text has all counts 0 and fails the base rule; a null lang
-adds to no reference, a null doc_id is not sampled; equal rows each give a row; an empty
+adds to no reference, a row of a null doc_id to no common words; equal rows each give a row; an empty
 table gives an empty result; further columns are ignored.  3-word windows are compared by
 64-bit hashes of their words.
 """
@@ -40,8 +39,12 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 #: spread of short ones), and the words and characters from which they apply.
 MAX_WORD_DISTANCE, WORD_BINS, MAX_CLASS_DISTANCE = 0.2, 45, 0.32
 GUARD_WORDS, GUARD_CHARS = 80, 200
-#: Common words of a language, rows of it they are learned from at most, and at least.
-COMMON, SAMPLE_ROWS, MIN_REFERENCE = 50, 4000, 20
+#: Common words of a language, and rows of it they are learned from at least.
+COMMON, MIN_REFERENCE = 50, 20
+#: Rows of a language they are learned from at most, if that is wanted (chosen by a hash of
+#: the id); None: all.  The SQL still has the bound it had, and is equal up to it.
+SAMPLE_ROWS: int | None = None
+SQL_SAMPLE_ROWS = 4000
 #: Successive removals; what is left is the last class.
 CLASSES = (("lower", "[a-z]+"), ("space", SPACE), ("upper", "[A-Z]+"), ("symbol", "[#*$%&|<>]+"), ("letter", r"\p{L}+"), ("digit", "[0-9]+"), ("punctuation", r"[\x21-\x7E]+"))
 
@@ -70,7 +73,7 @@ def common_words(docs: DataFrame) -> dict[str, list[str]]:
     own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     sizes = {r.lang: r["count"] for r in own.groupBy("lang").count().where(F.col("count") >= MIN_REFERENCE).collect()}
     own = own.where(F.col("lang").isin(list(sizes)))
-    large = {lang: f"{(SAMPLE_ROWS << 32) // n:08x}" for lang, n in sizes.items() if n > SAMPLE_ROWS}
+    large = {lang: f"{(SAMPLE_ROWS << 32) // n:08x}" for lang, n in sizes.items() if n > SAMPLE_ROWS} if SAMPLE_ROWS else {}
     if large:
         below = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])[F.col("lang")]
         own = own.where(below.isNull() | (F.left(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(8)) < below))
@@ -219,7 +222,7 @@ f AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS
       len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, c FROM w0 LEFT JOIN rep USING (doc_id)),
 sz AS (SELECT lang, count(*) AS n FROM t WHERE lang IS NOT NULL AND doc_id IS NOT NULL GROUP BY lang HAVING count(*) >= {MIN_REFERENCE}),
 sm AS (SELECT lang, unnest(list_distinct(w)) AS word FROM w0 JOIN sz USING (lang)
-       WHERE doc_id IS NOT NULL AND (n <= {SAMPLE_ROWS} OR left(md5(CAST(doc_id AS VARCHAR)), 8) < printf('%08x', CAST({SAMPLE_ROWS << 32} // n AS BIGINT)))),
+       WHERE doc_id IS NOT NULL AND (n <= {SQL_SAMPLE_ROWS} OR left(md5(CAST(doc_id AS VARCHAR)), 8) < printf('%08x', CAST({SQL_SAMPLE_ROWS << 32} // n AS BIGINT)))),
 sc AS (SELECT lang, word, count(*) AS n FROM sm GROUP BY ALL),
 l AS (SELECT lang AS ref, word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM sc) WHERE k <= {COMMON}),
 fp AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM f),

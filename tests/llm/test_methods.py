@@ -198,6 +198,14 @@ def test_languages_without_a_reference_are_judged_by_the_base_rule(spark):
     assert all(got[i].kept for i in (900, 901)) and not any(got[i].kept or got[i].base_failed for i in (950, 951))
 
 
+def test_common_words_of_all_rows(spark):
+    """60 words of close counts in 6,000 rows: a sample of them has another order."""
+    rows = [(i, " ".join(f"w{j}" for j in range(60) if (i * 7919 + j * 104729) % 1009 < 480 + j), "en") for i in range(6000)]
+    n = Counter(w for _, t, _ in rows for w in set(t.split()))
+    got = quality.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert got == {"en": sorted(n, key=lambda w: (-n[w], w))[: quality.COMMON]}
+
+
 def test_common_words_of_a_sample(spark, monkeypatch):
     """A language of more rows than the sample: the rows of the least hashes are counted."""
     import hashlib
