@@ -93,15 +93,17 @@ def _worth(gain: str):
 
 
 def evaluate(
-    run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (10, 100), gain: str = "linear", denominator: str = "judged", queries: DataFrame | None = None, counts: DataFrame | None = None
+    run: DataFrame, qrels: DataFrame | None, ks: tuple[int, ...] = (10, 100), gain: str = "linear", denominator: str = "judged", queries: DataFrame | None = None, counts: DataFrame | None = None
 ) -> DataFrame:
     """A row per cut-off: k, mrr, ndcg, recall, n_queries.  The ranking is joined with the
     judgements once, for all metrics and cut-offs.  counts: :func:`relevant_counts`, if known;
-    qrels then need only hold pairs that may be ranked."""
+    qrels then need only hold pairs that may be ranked.  Without qrels, run holds the judged
+    pairs alone and has their relevance."""
     worth, top = _worth(gain), max(ks)
     counts = relevant_counts(qrels) if counts is None else counts
     log = lambda c: F.log2(c.cast("double") + 1)
-    hits = run.where(F.col("rank") <= top).join(positives(qrels), ["query_id", "doc_id"])
+    hits = run.where(F.col("rank") <= top)
+    hits = hits.where("relevance > 0") if qrels is None else hits.join(positives(qrels), ["query_id", "doc_id"])
     by_pair = [F.min("rank").alias("first"), *(F.sum(F.when(F.col("rank") <= k, worth(F.col("relevance")) / log(F.col("rank")))).alias(f"d{k}") for k in ks)]
     pairs = hits.groupBy("query_id", "doc_id").agg(*by_pair)
     per = pairs.groupBy("query_id").agg(
