@@ -53,7 +53,20 @@ def test_negative_and_not_finite_weights(spark):
         nearest.blockmax(q, p, 9, 8).collect()
 
 
-PAIRS = ["vector_topk", "self_match_removal", "evaluate_classes", "vector_chunked_topk", "strategies_identical", "near_kth", "candidate_decay", "blockmax_alpha_topk", "blockmax_topk", "chunk_size_sweep"]
+def test_dense_rows_of_one_id_stay_apart(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "doc_id long, dense array<float>")
+    run = score.dense(d.withColumnRenamed("doc_id", "query_id"), d, 3)
+    assert rows(run.select("query_id", "doc_id", "score", "rank")) == ["(1, 1, 0.5, 2)", "(1, 1, 0.5, 3)", "(1, 1, 1.0, 1)", "(2, 1, 0.5, 2)", "(2, 2, 1.0, 1)"]
+
+
+def test_dense_has_no_limit_of_its_own(spark):
+    n = 1 << 15
+    d = spark.range(n + 1).selectExpr("id AS doc_id", "array(float(1), float(id % 7)) AS dense")
+    run = score.dense(d.where("doc_id < 2").withColumnRenamed("doc_id", "query_id").unionByName(d.where("doc_id >= 2").selectExpr("doc_id AS query_id", "array(float(0), float(0)) AS dense")), d, 1)  # before, more than 2**30 pairs were refused
+    assert rows(run.select("query_id", "doc_id", "score")) == ["(0, 0, 1.0)", "(1, 6, 7.0)"]
+
+
+PAIRS = ["vector_topk", "self_match_removal", "evaluate_classes", "vector_chunked_topk", "strategies_identical", "near_kth", "candidate_decay", "blockmax_alpha_topk", "blockmax_topk", "chunk_size_sweep", "dense_topk", "densified_topk"]
 
 
 @pytest.mark.parametrize("name", PAIRS)
