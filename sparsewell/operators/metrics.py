@@ -159,19 +159,23 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return _matches(a, b, k).agg(F.round(F.avg(F.col("m").cast("double") / F.lit(k)), 6).alias("overlap"))
 
 
-def compared(exact: DataFrame, runs: dict[int, DataFrame], k: int, name: str, value: str = "overlap") -> DataFrame:
+def compared(exact: DataFrame, runs: dict[int, DataFrame] | None, k: int, name: str, value: str = "overlap", keys: tuple[int, ...] = ()) -> DataFrame:
     """A row for each of the runs, with its key as ``name``: overlap as of :func:`overlap`, or
     recall as of :func:`recall_vs_exact` (micro).  All are compared at once, so that exact is
-    made once."""
+    made once.  Without runs, exact holds those of ``keys`` too, by its column ``name``, -1
+    being the exact one."""
     top = lambda df, key: df.where(F.col("rank") <= k).select("query_id", "doc_id", F.lit(key).cast("long").alias("_of"))
-    every = top(exact, None)
-    for key, run in runs.items():
-        every = every.unionByName(top(run, key))
-    hits = [F.count_if(F.col("_of") == key).alias(f"_{key}") for key in runs]
+    if runs is None:
+        every = exact.where(F.col("rank") <= k).select("query_id", "doc_id", F.nullif(F.col(name), F.lit(-1)).alias("_of"))
+    else:
+        every, keys = top(exact, None), tuple(runs)
+        for key, run in runs.items():
+            every = every.unionByName(top(run, key))
+    hits = [F.count_if(F.col("_of") == key).alias(f"_{key}") for key in keys]
     pairs = every.groupBy("query_id", "doc_id").agg(F.count_if(F.col("_of").isNull()).alias("_n"), *hits).where("_n > 0")
-    per = pairs.groupBy("query_id").agg(F.sum("_n").alias("_n"), *(F.sum(f"_{key}").alias(f"_{key}") for key in runs))
+    per = pairs.groupBy("query_id").agg(F.sum("_n").alias("_n"), *(F.sum(f"_{key}").alias(f"_{key}") for key in keys))
     share = (lambda m: F.avg(m.cast("double") / F.lit(k))) if value == "overlap" else (lambda m: F.sum(m).cast("double") / F.sum("_n"))
-    rows = (F.struct(F.lit(key).cast("long").alias(name), F.round(share(F.col(f"_{key}")), 6).alias(value)) for key in runs)
+    rows = (F.struct(F.lit(key).cast("long").alias(name), F.round(share(F.col(f"_{key}")), 6).alias(value)) for key in keys)
     return per.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
